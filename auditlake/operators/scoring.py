@@ -158,30 +158,35 @@ def semi_algorithmic_grade(df: DataFrame, extraction: str = "extraction", **flag
 def dictionary_extraction(text: Column) -> Column:
     """Offline stand-in for a model: every dictionary term contained in the text.
 
-    Native and whole-text; attributes are ``not mentioned``. Case is ignored.
+    Native and whole-text; attributes are ``not mentioned``. Case is ignored. The lowered text
+    is bound once by a one-element array, since a lambda would lower it again for every term.
     """
-    lowered = F.lower(text)
-
-    def present(terms: Mapping[str, int]) -> Column:
-        names = F.array(*[F.lit(t) for t in terms])
-        return F.filter(names, lambda t: F.contains(lowered, F.lower(t)))
-
     unknown = F.lit("not mentioned")
-    return F.struct(
-        F.transform(
-            present(D.FINDING_TERMS),
-            lambda t: F.struct(
-                t.alias("finding"), F.lit("").alias("location"), F.lit("").alias("system"),
-                unknown.alias("temporal"), unknown.alias("uncertainty"),
-            ),
-        ).alias("findings_all"),
-        F.transform(
-            present(D.DEVICE_TERMS), lambda t: F.struct(t.alias("medical_device"), unknown.alias("placement"))
-        ).alias("devices_all"),
-        F.transform(
-            present(D.DIAGNOSIS_TERMS), lambda t: F.struct(t.alias("diagnosis"), unknown.alias("temporal"))
-        ).alias("diagnoses_all"),
-    )
+
+    def present(lowered: Column, terms: Mapping[str, int]) -> Column:
+        names = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+        return F.transform(F.filter(names, lambda t: F.contains(lowered, t["low"])), lambda t: t["term"])
+
+    def extract(lowered: Column) -> Column:
+        return F.struct(
+            F.transform(
+                present(lowered, D.FINDING_TERMS),
+                lambda t: F.struct(
+                    t.alias("finding"), F.lit("").alias("location"), F.lit("").alias("system"),
+                    unknown.alias("temporal"), unknown.alias("uncertainty"),
+                ),
+            ).alias("findings_all"),
+            F.transform(
+                present(lowered, D.DEVICE_TERMS),
+                lambda t: F.struct(t.alias("medical_device"), unknown.alias("placement")),
+            ).alias("devices_all"),
+            F.transform(
+                present(lowered, D.DIAGNOSIS_TERMS),
+                lambda t: F.struct(t.alias("diagnosis"), unknown.alias("temporal")),
+            ).alias("diagnoses_all"),
+        )
+
+    return F.transform(F.array(F.lower(text)), extract)[0]
 
 
 def dictionary_findings(text: Column) -> dict[str, Column]:
