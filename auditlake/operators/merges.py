@@ -35,7 +35,8 @@ def conform(df: DataFrame, schema=S.STUDY_SCHEMA) -> DataFrame:
 
 def insert_if_absent(store: DataFrame, incoming: DataFrame, order: Sequence[str], batch_id: str) -> DataFrame:
     """Only the rows to add: first per key within the batch, unknown to the store, stamped."""
-    first = first_per_key(incoming, KEY, order).drop(*order)
+    extra = [c for c in order if c not in S.STUDY_TYPES]
+    first = first_per_key(incoming, KEY, order).drop(*extra)
     stamped = new_rows(store, first).withColumns(
         {
             "processing_batch_id": F.lit(batch_id),

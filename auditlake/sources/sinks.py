@@ -17,6 +17,8 @@ CSV_OPTIONS = {
     "escape": '"',
     "nullValue": "",
     "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
 }
 
