@@ -49,6 +49,8 @@ def apply_grader(
         [df.schema[key], *fields, T.StructField("error", T.StringType())]
     )
     narrow = df.select(key, *inputs)
+    whole = {n for n in inputs if isinstance(df.schema[n].dataType, T.IntegralType)}
+    dtypes = {f.name: "Int64" for f in fields if isinstance(f.dataType, T.IntegralType)}
     if partitions:
         narrow = narrow.repartition(partitions, key)
 
@@ -66,9 +68,13 @@ def apply_grader(
 
         with ThreadPoolExecutor(max_workers=threads) as pool:
             for batch in batches:
-                arguments = batch[list(inputs)].astype(object).where(batch[list(inputs)].notna(), None)
+                # Integers with gaps arrive as floats; the grader gets integers and None.
+                arguments = pd.DataFrame(
+                    {n: batch[n].astype("Int64") if n in whole else batch[n] for n in inputs}
+                )
+                arguments = arguments.astype(object).where(arguments.notna(), None)
                 rows = list(pool.map(one, arguments.itertuples(index=False, name=None)))
-                out = pd.DataFrame(rows, columns=names + ["error"], dtype=object)
+                out = pd.DataFrame(rows, columns=names + ["error"], dtype=object).astype(dtypes)
                 out.insert(0, key, batch[key].to_numpy())
                 yield out
 

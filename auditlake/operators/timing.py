@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import schema as S
 from auditlake.functions import rules
-from auditlake.functions.parsing import format_duration, format_minutes
+from auditlake.functions.parsing import format_duration, format_minutes, nan_to_null
 from auditlake.operators import ordering as O
 
 QUARTILES = {"p25": (1, 4), "median": (2, 4), "p75": (3, 4)}
@@ -35,9 +35,10 @@ def unpivot_times(
 ) -> DataFrame:
     """Rows ``(by, metric, seconds)``: every decision time, and the end-to-end times above 0."""
     by = by or []
+    decision, whole = (nan_to_null(F.col(c).cast("double")) for c in (tcd, tee))
     pairs = F.array(
-        F.struct(F.lit("tcd").alias("metric"), F.col(tcd).alias("seconds")),
-        F.struct(F.lit("tee").alias("metric"), F.when(F.col(tee) > 0, F.col(tee)).alias("seconds")),
+        F.struct(F.lit("tcd").alias("metric"), decision.alias("seconds")),
+        F.struct(F.lit("tee").alias("metric"), F.when(whole > 0, whole).alias("seconds")),
     )
     return df.select(*by, F.inline(pairs)).where(F.col("seconds").isNotNull())
 
@@ -78,9 +79,10 @@ def time_summary(
     Here end-to-end times of 0 are left out but negative ones are kept. The share is taken of
     all studies; ``note`` replaces the end-to-end figures in print where no study is late.
     """
+    decision, whole = (nan_to_null(F.col(c).cast("double")) for c in (tcd, tee))
     pairs = F.array(
-        F.struct(F.lit("tcd").alias("metric"), F.col(tcd).alias("seconds")),
-        F.struct(F.lit("tee").alias("metric"), F.when(F.col(tee) != 0, F.col(tee)).alias("seconds")),
+        F.struct(F.lit("tcd").alias("metric"), decision.alias("seconds")),
+        F.struct(F.lit("tee").alias("metric"), F.when(whole != 0, whole).alias("seconds")),
     )
     rows = df.select(F.inline(pairs))
     late = F.col("seconds") > S.LATE_SECONDS
@@ -108,6 +110,12 @@ def time_summary(
     )
 
 
+def _beyond(value: str) -> Column:
+    """Outside the whiskers; NaN, which compares as the largest number, is no value at all."""
+    v = nan_to_null(F.col(value).cast("double"))
+    return (v < F.col("whisker_low")) | (v > F.col("whisker_high"))
+
+
 def box_plot_stats(
     df: DataFrame, value: str = "seconds", by: list[str] | None = None, few_groups: bool = True
 ) -> DataFrame:
@@ -135,7 +143,7 @@ def box_plot_stats(
     outside = (
         df.select(*by, value)
         .join(F.broadcast(fences) if few_groups else fences, by)
-        .where((F.col(value) < F.col("whisker_low")) | (F.col(value) > F.col("whisker_high")))
+        .where(_beyond(value))
         .groupBy(*by)
         .agg(F.count("*").alias("outliers"))
     )
@@ -147,6 +155,6 @@ def outliers(df: DataFrame, box: DataFrame, by: list[str], value: str = "seconds
     fences = F.broadcast(box.select(*by, "whisker_low", "whisker_high"))
     return (
         df.join(fences, by)
-        .where((F.col(value) < F.col("whisker_low")) | (F.col(value) > F.col("whisker_high")))
+        .where(_beyond(value))
         .drop("whisker_low", "whisker_high")
     )

@@ -42,7 +42,8 @@ def filtered_studies(spark, sf_dir):
 def _page_sql(order: str, offset: int, size: int) -> str:
     return B.oracle(f"""
         SELECT accession_no, workplace, nodule, strftime(procedure_start_date, '%Y-%m-%d') AS start
-        FROM studies ORDER BY {order}, accession_no LIMIT {size} OFFSET {offset}""")
+        FROM studies ORDER BY {order}, accession_no LIMIT {size}
+        OFFSET (SELECT least({offset}, ((count(*) + {size} - 1) // {size} - 1) * {size}) FROM studies)""")
 
 
 def _shown(df):

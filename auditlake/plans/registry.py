@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import auditlake
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +25,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
+    """Import all query modules. Graders travel to workers by value, so no package must be installed there."""
+    cloudpickle.register_pickle_by_value(auditlake)
     from auditlake.plans import (  # noqa: F401
         queries_change,
         queries_classify,
