@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.binding import bind
+
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TRUE_WORDS = ("true", "1", "1.0")
 FALSE_WORDS = ("false", "0", "0.0")
@@ -58,22 +60,22 @@ def duration_seconds(c: Column) -> Column:
     """``0 days 00:03:00`` and ``00:03:00`` to seconds; a bare number already is seconds.
 
     In ``-1 days +23:59:00`` the clock part has its own sign; without one it takes the sign
-    of the day part.
+    of the day part. The pattern runs once and hands its groups on as one split text.
     """
     text = F.trim(c.cast("string"))
     pattern = r"^(?:([+-]?)(\d+) days?)?,?\s*(?:([+-]?)(\d+):(\d+):(\d+(?:\.\d+)?))?$"
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
+    def seconds(parts: Column) -> Column:
+        def value(i: int) -> Column:
+            return F.coalesce(F.nullif(parts[i], F.lit("")).try_cast("double"), F.lit(0.0))
 
-    def value(i: int) -> Column:
-        return F.coalesce(F.nullif(group(i), F.lit("")).try_cast("double"), F.lit(0.0))
+        day_sign = F.when(parts[0] == "-", -1).otherwise(1)
+        clock_sign = F.when(parts[2] == "-", -1).when(parts[2] == "+", 1).otherwise(day_sign)
+        clock = value(3) * 3600 + value(4) * 60 + value(5)
+        return F.when(F.size(parts) == 6, day_sign * value(1) * 86400 + clock_sign * clock)
 
-    day_sign = F.when(group(1) == "-", -1).otherwise(1)
-    clock_sign = F.when(group(3) == "-", -1).when(group(3) == "+", 1).otherwise(day_sign)
-    clock = value(4) * 3600 + value(5) * 60 + value(6)
-    total = day_sign * value(2) * 86400 + clock_sign * clock
-    return F.when(text.rlike(r"[:d]") & text.rlike(pattern), total).otherwise(number(c))
+    groups = F.split(F.regexp_replace(text, pattern, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
+    return F.when(text.rlike("[:d]"), bind(groups, seconds)).otherwise(number(c))
 
 
 def turnaround_fallback(seconds: Column, turnaround_minutes: Column) -> Column:
@@ -109,21 +111,22 @@ def struct_list(c: Column, element: str) -> Column:
 def model_reply(c: Column, schema: str) -> Column:
     """Parse a reply that should be JSON: whole text first, then the outermost braces.
 
-    Gives ``struct(value, status)`` with status ``ok``, ``extracted`` or ``failed``.
+    Gives ``struct(value, status)`` with status ``ok``, ``extracted`` or ``failed``. The second
+    parse only runs where the first one failed.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    full = f"{schema}, _bad string"
 
     def parse(text: Column) -> Column:
-        return F.from_json(text, full, options)
-
-    def readable(text: Column, parsed: Column) -> Column:
-        return text.rlike(r"^\s*\{") & parsed.isNotNull() & parsed["_bad"].isNull()
-
-    inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    first, second = parse(c), parse(inner)
-    first_ok = F.coalesce(readable(c, first), F.lit(False))
-    second_ok = F.coalesce(readable(inner, second), F.lit(False))
-    value = F.when(first_ok, first).when(second_ok, second).dropFields("_bad")
-    status = F.when(first_ok, "ok").when(second_ok, "extracted").otherwise("failed")
-    return F.struct(value.alias("value"), status.alias("status"))
+        braced = bind(text, lambda t: F.when(t.rlike(r"^\s*\{"), t))
+        return bind(F.from_json(braced, f"{schema}, _bad string", options), lambda p: F.when(p["_bad"].isNull(), p))
+
+    inner = parse(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+
+    def second(first: Column) -> Column:
+        return F.when(first.isNotNull(), F.struct(first.alias("value"), F.lit("ok").alias("status"))).otherwise(
+            bind(inner, lambda p: F.struct(
+                p.alias("value"), F.when(p.isNotNull(), "extracted").otherwise("failed").alias("status")
+            ))
+        )
+
+    return bind(parse(c), second)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake import schema as S
+from auditlake.functions.binding import bind
 from auditlake.functions.parsing import model_reply
 from auditlake.functions.text import clean_report
 from auditlake.operators import scoring
@@ -92,15 +93,18 @@ def grade_or_default(grade: Column, default: int = 0) -> Column:
 
 def parse_grade_reply(reply: Column) -> Column:
     """``struct(grade, explanation, grade_status)`` from a JSON reply; grades outside 1..5 are refused."""
-    parsed = model_reply(reply, "grade int, explanation string")
-    grade = parsed["value"]["grade"]
-    valid = grade.between(1, 5)
-    status = F.when(parsed["status"] == "failed", "failed").when(F.coalesce(valid, F.lit(False)), "ok")
-    return F.struct(
-        F.when(valid, grade).alias("grade"),
-        F.coalesce(parsed["value"]["explanation"], F.lit("")).alias("explanation"),
-        status.otherwise("invalid").alias("grade_status"),
-    )
+
+    def checked(r: Column) -> Column:
+        grade = r["value"]["grade"]
+        valid = grade.between(1, 5)
+        status = F.when(r["status"] == "failed", "failed").when(valid, "ok").otherwise("invalid")
+        return F.struct(
+            F.when(valid, grade).alias("grade"),
+            F.coalesce(r["value"]["explanation"], F.lit("")).alias("explanation"),
+            status.alias("grade_status"),
+        )
+
+    return bind(model_reply(reply, "grade int, explanation string"), checked)
 
 
 def equal_choice(first: Column, second: Column) -> Column:
@@ -112,6 +116,7 @@ def equal_choice(first: Column, second: Column) -> Column:
 
 def judge(
     df: DataFrame,
+    texts: DataFrame,
     factory: Callable[[], Grader] | None,
     report: str,
     first: str,
@@ -123,18 +128,21 @@ def judge(
 ) -> DataFrame:
     """Adjudicate two grade columns: adds ``{prefix}_grade``, ``_choice`` and ``_explanation``.
 
-    Only rows with different grades (and ``when`` true) are sent to the judge.
+    ``df`` holds keys and grades, ``texts`` keys and reports. Only rows with different grades
+    (and ``when`` true) meet their text and go to the judge.
     """
     names = ("grade", "choice", "explanation")
     relevant = F.lit(True) if when is None else when
-    equal = F.when(relevant, equal_choice(F.col(first), F.col(second)))
-    staged = df.withColumn("_equal", equal)
-    open_rows = staged.where(relevant & F.col("_equal").isNull())
+    staged = df.withColumn("_equal", F.when(relevant, equal_choice(F.col(first), F.col(second))))
+    open_rows = staged.where(relevant & F.col("_equal").isNull()).select(key, first, second)
     if factory is None:
-        answers = open_rows.select(key, *[F.lit(None).cast(t).alias(f"_{n}") for n, t in zip(names, ("int", "int", "string"))])
+        answers = open_rows.select(
+            key, *[F.lit(None).cast(t).alias(f"_{n}") for n, t in zip(names, ("int", "int", "string"))]
+        )
     else:
         asked = apply_grader(
-            open_rows, [report, first, second], factory, "grade int, choice int, explanation string", key, **options
+            texts.select(key, report).join(open_rows, key), [report, first, second], factory,
+            "grade int, choice int, explanation string", key, **options,
         )
         answers = materialize(asked, "judge").select(key, *[F.col(n).alias(f"_{n}") for n in names])
     return (
@@ -163,6 +171,9 @@ def grade_pipeline(
     * ``llm(report)`` -> ``{"grade"}``
     * ``judge(report, grade_a, grade_b)`` -> ``{"grade", "choice", "explanation"}``
     * ``findings(report)`` -> one boolean per ``*_llm`` field
+
+    Steps pass keys and grades on, never the reports: those narrow tables are joined with one
+    another and meet the wide rows in a single last join.
     """
     unknown = sorted(set(steps) - set(STEPS))
     if unknown:
@@ -170,55 +181,63 @@ def grade_pipeline(
     missing = [s for s in steps if s not in graders and s not in ("semialgo", "judge")]
     if missing:
         raise ValueError(f"no grader for steps: {missing}")
-    out = df.withColumn(report, clean_report(F.col(report)))
+    texts = df.select(key, clean_report(F.col(report)).alias(report))
+    given = [c for c in ("priority_algo", "llm_grade", manual) if c and c in df.columns]
+    grades = df.select(key, *given)
 
     if "semialgo" in steps:
-        texts = out.select(key, report)
         if "semialgo" in graders:
-            replies = materialize(apply_grader(texts, [report], graders["semialgo"], "reply string", key, **options), "semialgo")
+            replies = materialize(
+                apply_grader(texts, [report], graders["semialgo"], "reply string", key, **options), "semialgo"
+            )
             extracted = replies.select(
                 key, model_reply(F.col("reply"), S.EXTRACTION_SCHEMA)["value"].alias("extraction")
             )
         else:
             extracted = texts.select(key, scoring.dictionary_extraction(F.col(report)).alias("extraction"))
         scored = scoring.semi_algorithmic_grade(extracted).drop("extraction", "semialgo_grade")
-        out = with_grades(out, scored, key).withColumnRenamed("overall_max_priority", "priority_algo")
+        pinned = materialize(scored.withColumnRenamed("overall_max_priority", "priority_algo"), "priorities")
+        grades = with_grades(grades.drop("priority_algo"), pinned, key)
     if "hybrid" in steps:
-        if "priority_algo" not in out.columns:
+        if "priority_algo" not in grades.columns:
             raise ValueError("step hybrid needs step semialgo or a column priority_algo")
         asked = apply_grader(
-            out, [report, "priority_algo"], graders["hybrid"], "grade int, explanation string", key, **options
+            texts.join(grades.select(key, "priority_algo"), key, "left"), [report, "priority_algo"],
+            graders["hybrid"], "grade int, explanation string", key, **options,
         )
-        grades = materialize(asked, "hybrid").select(
+        hybrid = materialize(asked, "hybrid").select(
             key, F.col("grade").alias("priority_hybrid"), F.coalesce("explanation", F.lit("")).alias("hybrid_explanation")
         )
-        out = with_grades(out, grades, key)
+        grades = with_grades(grades, hybrid, key)
     if "llm" in steps:
-        asked = apply_grader(out, [report], graders["llm"], "grade int", key, **options)
-        grades = materialize(asked, "grade").select(
+        asked = apply_grader(texts, [report], graders["llm"], "grade int", key, **options)
+        direct = materialize(asked, "grade").select(
             key, F.col("grade").alias("llm_grade"),
             F.when(F.col("grade").isNull(), "failed").otherwise("ok").alias("grade_status"),
         )
-        out = with_grades(out.drop("llm_grade"), grades, key)
+        grades = with_grades(grades.drop("llm_grade"), direct, key)
     if "judge" in steps:
         need = ["priority_algo", "llm_grade"] + ([manual] if manual else [])
-        absent = [c for c in need if c not in out.columns]
+        absent = [c for c in need if c not in grades.columns]
         if absent:
             raise ValueError(f"step judge needs columns {absent}")
-        out = judge(out, graders.get("judge"), report, "priority_algo", "llm_grade", "judge", key, **options)
+        chosen = graders.get("judge")
+        grades = judge(grades, texts, chosen, report, "priority_algo", "llm_grade", "judge", key, **options)
         if manual:
-            out = judge(
-                out, graders.get("judge"), report, manual, "judge_grade", "judge_ext", key,
+            grades = judge(
+                grades, texts, chosen, report, manual, "judge_grade", "judge_ext", key,
                 when=F.col(manual).isNotNull(), **options,
             )
     if "findings" in steps:
         names = S.LLM_FINDING_FIELDS
         asked = apply_grader(
-            out, [report], graders["findings"], ", ".join(f"{n} boolean" for n in names), key, **options
+            texts, [report], graders["findings"], ", ".join(f"{n} boolean" for n in names), key, **options
         )
         found = materialize(asked, "findings").select(key, *[F.col(n).cast("int").alias(n) for n in names])
-        out = with_grades(out.drop(*names), found, key)
-    return out
+        grades = with_grades(grades, found, key)
+    new = [c for c in grades.columns if c != key]
+    kept = [c for c in df.columns if c not in new]
+    return with_grades(df.select(*kept).withColumn(report, clean_report(F.col(report))), grades, key)
 
 
 class TermGrader:

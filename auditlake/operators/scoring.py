@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake import dictionaries as D
 from auditlake import schema as S
+from auditlake.functions.binding import bind, literal_rows, literals
 
 MAX_DICTIONARY = 1000
 
@@ -20,35 +21,47 @@ MAX_DICTIONARY = 1000
 def _entries(terms: Mapping[str, int]) -> Column:
     if len(terms) > MAX_DICTIONARY:
         raise ValueError(f"dictionary has {len(terms)} terms, more than a literal should hold")
-    return F.array(
-        *[
-            F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("size"), F.lit(i).alias("code"))
-            for i, t in enumerate(terms)
-        ]
-    )
+    return literal_rows(("term", "size", "code"), [(t, len(t), i) for i, t in enumerate(terms)])
 
 
 def exact_code(term: Column, terms: Sequence[str] | Mapping[str, int], case_insensitive: bool = False) -> Column:
     """0-based position of a term in its list, null if absent."""
     names = [t.lower() for t in terms] if case_insensitive else list(terms)
     probe = F.lower(term) if case_insensitive else term
-    return F.nullif(F.array_position(F.array(*[F.lit(t) for t in names]), probe) - 1, F.lit(-1)).cast("int")
+    return F.nullif(F.array_position(literals(names), probe), F.lit(0)).cast("int") - 1
+
+
+CLOSE = 2
 
 
 def nearest_code(term: Column, terms: Mapping[str, int]) -> Column:
     """Position of the nearest term by edit distance; the earlier one wins a tie.
 
-    The difference in length bounds the distance from below, which spares most computations.
+    Most misspellings are within two edits. A first round bounded to that distance is cheap and,
+    if it finds a term, exact; only what it leaves open is compared without a bound. The
+    difference in length bounds the distance from below, which spares most computations.
     """
-    start = F.struct(F.lit(2**31 - 1).alias("distance"), F.lit(-1).alias("code"))
+
+    def too_long(best: Column, entry: Column) -> Column:
+        return F.abs(F.length(term) - entry["size"]) >= best["distance"]
+
+    def pair(distance: Column, code: Column) -> Column:
+        return F.struct(distance.alias("distance"), code.alias("code"))
+
+    def closer_within(best: Column, entry: Column) -> Column:
+        distance = F.levenshtein(term, entry["term"], CLOSE)  # -1 beyond the bound
+        nearer = bind(distance, lambda d: F.when((d >= 0) & (d < best["distance"]), pair(d, entry["code"])))
+        return F.when(too_long(best, entry), best).otherwise(F.coalesce(nearer, best))
 
     def closer(best: Column, entry: Column) -> Column:
-        hopeless = F.abs(F.length(term) - entry["size"]) >= best["distance"]
-        found = F.struct(F.levenshtein(term, entry["term"]).alias("distance"), entry["code"].alias("code"))
-        return F.when(hopeless, best).otherwise(F.least(best, found))
+        found = pair(F.levenshtein(term, entry["term"]), entry["code"])
+        return F.when(too_long(best, entry), best).otherwise(F.least(best, found))
 
-    best = F.aggregate(_entries(terms), start, closer)
-    return F.when(term.isNotNull(), best["code"])
+    none = F.lit(-1)
+    first = F.aggregate(_entries(terms), pair(F.lit(CLOSE + 1), none), closer_within)["code"]
+    second = F.aggregate(_entries(terms), pair(F.lit(2**31 - 1), none), closer)["code"]
+    code = bind(first, lambda c: F.when(c >= 0, c).otherwise(second))
+    return F.when(term.isNotNull(), code)
 
 
 def finding_code(term: Column, terms: Mapping[str, int] = D.FINDING_TERMS) -> Column:
@@ -56,7 +69,7 @@ def finding_code(term: Column, terms: Mapping[str, int] = D.FINDING_TERMS) -> Co
 
 
 def priority_of(code: Column, terms: Mapping[str, int]) -> Column:
-    return F.try_element_at(F.array(*[F.lit(p) for p in terms.values()]), code + 1)
+    return F.try_element_at(literals(terms.values()), code + 1)
 
 
 def encode_findings(extraction: Column, case_insensitive: bool = False) -> Column:
@@ -124,9 +137,15 @@ def priority_scores(encoded: Column, finding_temporal: bool = False, diagnosis_o
         p = p - F.when(d["temporal"].isin(better, stable), 1).otherwise(0)
         return F.when(d["diagnosis"].isNotNull(), _clamp(p))
 
-    found = _drop_nulls(F.transform(encoded["findings_all"], finding))
-    lines = _drop_nulls(F.transform(encoded["devices_all"], device))
-    named = _drop_nulls(F.transform(encoded["diagnoses_all"], diagnosis))
+    items = F.struct(
+        _drop_nulls(F.transform(encoded["findings_all"], finding)).alias("found"),
+        _drop_nulls(F.transform(encoded["devices_all"], device)).alias("lines"),
+        _drop_nulls(F.transform(encoded["diagnoses_all"], diagnosis)).alias("named"),
+    )
+    return bind(items, lambda i: _overall(i["found"], i["lines"], i["named"], diagnosis_only_counts))
+
+
+def _overall(found: Column, lines: Column, named: Column, diagnosis_only_counts: bool) -> Column:
     counts = (F.size(found) > 0) | (F.size(lines) > 0)
     if diagnosis_only_counts:
         counts = counts | (F.size(named) > 0)
@@ -159,12 +178,12 @@ def dictionary_extraction(text: Column) -> Column:
     """Offline stand-in for a model: every dictionary term contained in the text.
 
     Native and whole-text; attributes are ``not mentioned``. Case is ignored. The lowered text
-    is bound once by a one-element array, since a lambda would lower it again for every term.
+    is bound once, since a lambda would lower it again for every term.
     """
     unknown = F.lit("not mentioned")
 
     def present(lowered: Column, terms: Mapping[str, int]) -> Column:
-        names = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
+        names = literal_rows(("term", "low"), [(t, t.lower()) for t in terms])
         return F.transform(F.filter(names, lambda t: F.contains(lowered, t["low"])), lambda t: t["term"])
 
     def extract(lowered: Column) -> Column:
@@ -186,7 +205,7 @@ def dictionary_extraction(text: Column) -> Column:
             ).alias("diagnoses_all"),
         )
 
-    return F.transform(F.array(F.lower(text)), extract)[0]
+    return bind(F.lower(text), extract)
 
 
 def dictionary_findings(text: Column) -> dict[str, Column]:

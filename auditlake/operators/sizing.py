@@ -1,4 +1,4 @@
-"""Broadcast behind a check of the size."""
+"""Checks of size: when to broadcast, when to spread."""
 
 from __future__ import annotations
 
@@ -14,3 +14,13 @@ def broadcast_keys(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFram
     Counting stops at the limit. Use for narrow key columns only.
     """
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the input of a CPU-bound step if it has fewer splits than the session has cores.
+
+    One small file is one split and would keep all other cores idle; a large table has far more
+    splits than cores and is left as it is. For plans without a shuffle (scans and projections).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from auditlake import schema as S
 from auditlake.functions import parsing as P
 from auditlake.functions import rules, text
 from auditlake.operators import intake
+from auditlake.operators.sizing import spread
 from auditlake.plans import bindings as B
 from auditlake.plans.registry import query
 
@@ -35,7 +36,7 @@ def clean_report_text(spark, sf_dir):
         F.lit("CHEST of "), (1 + F.col("doc_id") % 28).cast("string"), F.lit("-Jan-2024:\nAccession No:"),
         F.col("doc_id").cast("string"), F.lit("\n\n\n  "), F.col("text"), F.lit(" \n"),
     )
-    cleaned = B.table(spark, sf_dir, "documents").select("doc_id", text.clean_report(raw).alias("c"))
+    cleaned = spread(B.table(spark, sf_dir, "documents")).select("doc_id", text.clean_report(raw).alias("c"))
     return cleaned.select("doc_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("size"))
 
 
@@ -243,4 +244,4 @@ def parse_model_json(spark, sf_dir):
         n, body, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```")), F.lit("no grade"), wild, F.lit('{"grade": ')
     )
     parsed = parse_grade_reply(reply)
-    return B.table(spark, sf_dir, "orders").select(n.alias("accession_no"), F.inline(F.array(parsed)))
+    return spread(B.table(spark, sf_dir, "orders")).select(n.alias("accession_no"), F.inline(F.array(parsed)))

@@ -7,7 +7,9 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from auditlake import dictionaries as D
+from auditlake.functions.binding import literals
 from auditlake.operators import grading, scoring
+from auditlake.operators.sizing import spread
 from auditlake.plans import bindings as B
 from auditlake.plans.registry import query
 
@@ -23,11 +25,11 @@ DICTIONARY_SQL = ", ".join(
 
 
 def _term(terms, position):
-    return F.element_at(F.array(*[F.lit(t) for t in terms]), (position + 1).cast("int"))
+    return F.element_at(literals(terms), (position + 1).cast("int"))
 
 
 def _word(words, position):
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (position % len(words) + 1).cast("int"))
+    return F.element_at(literals(words), (position % len(words) + 1).cast("int"))
 
 
 _CERTAINTY = D.CERTAINTY_CODES + ("maybe",)
@@ -55,7 +57,7 @@ def extractions(spark, sf_dir):
     def some(item, present):
         return F.filter(F.array(item), lambda x: present)
 
-    return B.table(spark, sf_dir, "lineitem").select(
+    return spread(B.table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.struct(
             some(one_finding, F.col("l_returnflag") != "N").alias("findings_all"),
@@ -135,7 +137,7 @@ def priority_scores(spark, sf_dir):
     SELECT p_partkey, term AS nearest FROM part JOIN near USING (p_name)""")
 def nearest_term(spark, sf_dir):
     code = scoring.finding_code(F.col("p_name"))
-    return B.table(spark, sf_dir, "part").select("p_partkey", _term(D.FINDING_TERMS, code).alias("nearest"))
+    return spread(B.table(spark, sf_dir, "part")).select("p_partkey", _term(D.FINDING_TERMS, code).alias("nearest"))
 
 
 def graded_reports(spark, sf_dir):
@@ -147,7 +149,7 @@ def graded_reports(spark, sf_dir):
         F.when(n % 4 == 0, _term(D.DEVICE_TERMS, n % len(D.DEVICE_TERMS))),
         F.when(n % 5 == 0, _term(D.DIAGNOSIS_TERMS, n % len(D.DIAGNOSIS_TERMS))),
     )
-    return B.table(spark, sf_dir, "documents").select(
+    return spread(B.table(spark, sf_dir, "documents")).select(
         n.alias("accession_no"), text.alias("text_report"), F.when(n % 2 == 0, (1 + n % 5).cast("int")).alias("priority_manual")
     )
 

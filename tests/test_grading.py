@@ -53,10 +53,10 @@ class Higher:
 
 def test_judge_sees_only_unequal_grades(reports):
     df = reports.withColumn("other", F.when(F.col("accession_no") == 1, 3).otherwise(F.col("level") - 1))
-    out = grading.judge(df, Higher, "text_report", "level", "other", "judge")
+    out = grading.judge(df, reports, Higher, "text_report", "level", "other", "judge")
     got = {r["accession_no"]: (r["judge_grade"], r["judge_choice"], r["judge_explanation"]) for r in out.collect()}
     assert got[1] == (3, 3, None) and got[5] == (5, 1, "why") and got[4] == (None, 3, None)
-    ext = grading.judge(out, Higher, "text_report", "manual", "judge_grade", "ext", when=F.col("manual").isNotNull())
+    ext = grading.judge(out, reports, Higher, "text_report", "manual", "judge_grade", "ext", when=F.col("manual").isNotNull())
     got = {r["accession_no"]: (r["ext_grade"], r["ext_choice"]) for r in ext.collect()}
     assert got[2] == (None, None) and got[3] == (2, 3) and got[1] == (4, 1)
 
