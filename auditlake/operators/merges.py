@@ -47,15 +47,22 @@ def insert_if_absent(store: DataFrame, incoming: DataFrame, order: Sequence[str]
     return stamped
 
 
-def upsert_non_null(store: DataFrame, incoming: DataFrame, key: str = KEY) -> DataFrame:
-    """Insert new keys; on known ones overwrite only with values that are not null."""
+def upsert_non_null(store: DataFrame, incoming: DataFrame, key: str = KEY, touched: str | None = None) -> DataFrame:
+    """Insert new keys; on known ones overwrite only with values that are not null.
+
+    ``touched`` names an extra column that tells the rows with an incoming side.
+    """
     old, new = store.alias("o"), incoming.alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    kinds = dict(store.dtypes)
 
     def merged(c: str) -> Column:
-        return F.coalesce(F.col(f"n.`{c}`"), F.col(f"o.`{c}`")) if c in incoming.columns else F.col(f"o.`{c}`")
+        if c not in incoming.columns:
+            return F.col(f"o.`{c}`")
+        return F.coalesce(F.col(f"n.`{c}`").cast(kinds[c]), F.col(f"o.`{c}`"))
 
-    return joined.select(*[merged(c).alias(c) for c in store.columns])
+    flag = [F.col(f"n.{key}").isNotNull().alias(touched)] if touched else []
+    return joined.select(*[merged(c).alias(c) for c in store.columns], *flag)
 
 
 def import_outcomes(store: DataFrame, rows: DataFrame, order: Sequence[str], mode: str = "skip") -> DataFrame:

@@ -152,8 +152,9 @@ def hash_order(key: Column, seed: int) -> Column:
 def take_lowest(df: DataFrame, stratum: str, sort_key: str, tie: str, quota: DataFrame) -> DataFrame:
     """The first ``take`` rows of each stratum in order of a hex ``sort_key``.
 
-    ``quota`` has one row per stratum: ``(stratum, take)``. Hash prefixes below the cut prefix
-    are taken whole; only rows sharing the cut prefix are ranked.
+    ``quota`` has one row per stratum, ``(stratum, take)``, with strata from a fixed small set.
+    Hash prefixes below the cut prefix are taken whole by a filter; only rows sharing the cut
+    prefix, one in 65,536, are shuffled and ranked. Wide rows may therefore pass through.
     """
     rows = df.withColumn("_bucket", F.substring(sort_key, 1, HASH_DIGITS))
     counts = rows.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n"))

@@ -77,13 +77,13 @@ def stratified_sample(
             )
         )
     )
-    keyed = pool.select(
-        key,
-        F.when(P.priority_workplace(), "priority").otherwise("other").alias("stratum"),
-        O.hash_order(F.col(key), seed).alias("_hash"),
+    keyed = pool.withColumns(
+        {
+            "stratum": F.when(P.priority_workplace(), "priority").otherwise("other"),
+            "_hash": O.hash_order(F.col(key), seed),
+        }
     )
-    drawn = O.take_lowest(keyed, "stratum", "_hash", key, quota).drop("_hash")
-    return pool.join(drawn, key)
+    return O.take_lowest(keyed, "stratum", "_hash", key, quota).drop("_hash")
 
 
 def label_sheet(sample: DataFrame, key: str = "accession_no", text: str = "text_report") -> DataFrame:

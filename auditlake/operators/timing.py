@@ -97,10 +97,11 @@ def time_summary(
         F.min("seconds").alias("min"),
         F.max("seconds").alias("max"),
         F.count_if(late).alias("late"),
+        F.count_if(F.col("seconds") < 0).alias("negative"),
     )
     out = basic.join(F.broadcast(medians), "metric", "left")
     return out.select(
-        "metric", "studies", "n", "mean", "median", "std", "min", "max", "late",
+        "metric", "studies", "n", "mean", "median", "std", "min", "max", "late", "negative",
         (F.try_divide("late", "studies") * 100).alias("late_pct"),
         F.when(
             F.col("late") == 0,

@@ -237,7 +237,7 @@ def price_quantiles(spark, sf_dir):
     SELECT metric, count(*) AS studies, count(seconds) AS n, round(avg(seconds), 6)::DOUBLE AS mean,
            round(median(seconds), 6)::DOUBLE AS median, round(stddev_samp(seconds), 6)::DOUBLE AS std,
            min(seconds)::DOUBLE AS min, max(seconds)::DOUBLE AS max,
-           count(*) FILTER (WHERE seconds > 300) AS late,
+           count(*) FILTER (WHERE seconds > 300) AS late, count(*) FILTER (WHERE seconds < 0) AS negative,
            round(count(*) FILTER (WHERE seconds > 300)::DOUBLE / count(*) * 100, 6)::DOUBLE AS late_pct
     FROM (SELECT 'tcd' AS metric, tcd AS seconds FROM t UNION ALL SELECT 'tee', nullif(tee, 0) FROM t)
     GROUP BY metric"""))

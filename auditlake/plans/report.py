@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import rules
 from auditlake.operators import confusion, filters, timing, trends
 from auditlake.operators.merges import conform
+from auditlake.session import materialize
 
 NARROW = (
     "accession_no", "workplace", "procedure_start_date", "gt_llm", "gt_manual", "prediction",
@@ -21,15 +22,20 @@ def slice_of(studies: DataFrame, first: str | None = None, last: str | None = No
     return rows.withColumn("site", rules.site_of(F.col("workplace")))
 
 
-def report_sections(studies: DataFrame, first: str | None = None, last: str | None = None, sites: str | None = None) -> dict[str, DataFrame]:
+def report_sections(
+    studies: DataFrame, first: str | None = None, last: str | None = None, sites: str | None = None, pin: bool = True
+) -> dict[str, DataFrame]:
     """Every section of the report.
 
-    Sections share the narrow slice: eight short columns without the report text, so each is a
-    cheap scan; persist ``slice_of(...)`` beforehand if the source is slow. The raw value lists
-    behind box plots are replaced by their statistics.
+    Sections share the narrow slice, eight short columns without the report text. It is written
+    once to the shared folder (``pin``) and each section scans the columns it needs; only the
+    two case lists go back to the studies for text and scores. The raw value lists behind box
+    plots are replaced by their statistics.
     """
     full = slice_of(conform(studies), first, last, sites)
     rows = full.select(*NARROW, "site")
+    if pin:
+        rows = materialize(rows, "report-slice")
     manual = rows.where(F.col("gt_manual").isNotNull())
     times = timing.unpivot_times(rows)
     weekly = trends.weekly_balanced_accuracy(rows, "gt_llm", "prediction")

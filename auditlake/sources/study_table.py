@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from auditlake import schema as S
 from auditlake.operators import merges as M
 from auditlake.operators.sizing import broadcast_keys
+from auditlake.session import materialize
 
 NO_MONTH = "none"
 COMMIT = "version long, folder string, month string, kind string"
@@ -126,24 +127,31 @@ class StudyTable:
         months = self._months_of_keys(incoming)
         store = self.read(months) if months else self.spark.createDataFrame([], self.schema)
         now = F.current_timestamp()
-        typed = M.conform(incoming, self.schema)
-        merged = M.upsert_non_null(store, typed).withColumn("created_at", F.coalesce("created_at", now))
-        stamped = merged.join(
-            typed.select(M.KEY, F.lit(True).alias("_touched")), M.KEY, "left"
-        ).withColumn("updated_at", F.when(F.col("_touched"), now).otherwise(F.col("updated_at")))
-        self._write(stamped.drop("_touched"), months)
+        merged = M.upsert_non_null(store, incoming, touched="_touched").withColumns(
+            {
+                "created_at": F.coalesce("created_at", now),
+                "updated_at": F.when(F.col("_touched"), now).otherwise(F.col("updated_at")),
+            }
+        )
+        self._write(merged.drop("_touched"), months)
+
+    # Changes are narrow and used twice, to find the months and to merge: they are written once.
 
     def set_labels(self, labels: DataFrame, field: str = "gt_manual") -> None:
-        self._rewrite(labels, lambda rows: M.apply_labels(rows, labels, field))
+        pinned = materialize(labels.select(M.KEY, "label"), "labels")
+        self._rewrite(pinned, lambda rows: M.apply_labels(rows, pinned, field))
 
     def backfill(self, found: DataFrame) -> None:
-        self._rewrite(found, lambda rows: M.backfill_merge(rows, found))
+        pinned = materialize(found, "backfill")
+        self._rewrite(pinned, lambda rows: M.backfill_merge(rows, pinned))
 
     def edit(self, changes: DataFrame) -> None:
-        self._rewrite(changes, lambda rows: M.edit_rows(rows, changes))
+        pinned = materialize(changes, "edits")
+        self._rewrite(pinned, lambda rows: M.edit_rows(rows, pinned))
 
     def delete(self, keys: DataFrame) -> None:
-        self._rewrite(keys, lambda rows: M.delete_keys(rows, keys))
+        pinned = materialize(keys.select(M.KEY).distinct(), "deletes")
+        self._rewrite(pinned, lambda rows: M.delete_keys(rows, pinned))
 
     # -- run records -----------------------------------------------------------------------
 
