@@ -50,36 +50,48 @@ def pick_ranks(
         *[c.cast("int").alias(f"_x_{n}") for n, c in aggs.items()],
     )
     buckets = rows.groupBy(*by, "_bucket").agg(
-        F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.count("*").alias("_n"), F.sum(F.col("_v").cast("double")).alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         *[F.sum(f"_x_{n}").alias(f"_x_{n}") for n in aggs],
     )
     # Buckets per group are bounded by the number format, not by the data.
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        buckets.withColumn("_total", F.sum("_n").over(whole))
+    totals = {
+        "total": F.sum("_n").over(whole), "sum": F.sum("_sum").over(whole),
+        "min": F.min("_min").over(whole), "max": F.max("_max").over(whole),
+        **{n: F.sum(f"_x_{n}").over(whole) for n in aggs},
+    }
+    wanted = (
+        buckets.withColumns(totals)
         .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-        .withColumn("_want", F.array_distinct(ranks(F.col("_total"))))
+        .withColumn("_want", F.array_distinct(ranks(F.col("total"))))
         .withColumn(
             "_want",
             F.filter("_want", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n"))),
         )
+        .where(F.size("_want") > 0)
+        .select(*by, "_bucket", "_before", "_want", *totals)
     )
-    wanted = placed.where(F.size("_want") > 0).select(*by, "_bucket", "_before", "_want")
+    places = wanted.select(*by, "_bucket")
     if few_groups:
-        wanted = F.broadcast(wanted)
+        wanted, places = F.broadcast(wanted), F.broadcast(places)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    picks = (
+    # Counting per value comes before anything else, so that a hot value shrinks on the map side.
+    histogram = (
         rows.select(*by, "_bucket", "_v")
-        .join(wanted, [*by, "_bucket"])
+        .join(places, [*by, "_bucket"], "left_semi")
         .groupBy(*by, "_bucket", "_v")
-        .agg(F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_want").alias("_want"))
+        .agg(F.count("*").alias("_n"))
+    )
+    return (
+        histogram.join(wanted, [*by, "_bucket"])
         .withColumn("_through", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_below", F.col("_through") - F.col("_n"))
         .select(
             *by,
+            *totals,
             F.explode(
                 F.filter("_want", lambda r: (r > F.col("_below")) & (r <= F.col("_through")))
             ).alias("_rank"),
@@ -87,14 +99,9 @@ def pick_ranks(
                 F.col("_v").alias("value"), F.col("_below").alias("below"), F.col("_through").alias("through")
             ).alias("_pick"),
         )
-        .groupBy(*by)
+        .groupBy(*by, *totals)
         .agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_pick"))).alias("picks"))
     )
-    totals = buckets.groupBy(*by).agg(
-        F.sum("_n").alias("total"), F.sum("_sum").alias("sum"), F.min("_min").alias("min"),
-        F.max("_max").alias("max"), *[F.sum(f"_x_{n}").alias(n) for n in aggs],
-    )
-    return totals.join(picks, by, "left")
 
 
 def _cut_rank(i: int, n: int, total: Column) -> Column:
@@ -149,32 +156,29 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def take_lowest(df: DataFrame, stratum: str, sort_key: str, tie: str, quota: DataFrame) -> DataFrame:
-    """The first ``take`` rows of each stratum in order of a hex ``sort_key``.
+def lowest_cut(keys: DataFrame, stratum: str, sort_key: str, tie: str, quota: DataFrame) -> DataFrame:
+    """Where the first ``take`` rows of each stratum end, in order of a hex ``sort_key``.
 
     ``quota`` has one row per stratum, ``(stratum, take)``, with strata from a fixed small set.
-    Hash prefixes below the cut prefix are taken whole by a filter; only rows sharing the cut
-    prefix, one in 65,536, are shuffled and ranked. Wide rows may therefore pass through.
+    The result has one row per stratum with rows to take: ``(stratum, cut)``, the last row's
+    ``struct(sort_key, tie)``. Counts per hash prefix place the cut; only rows sharing the cut
+    prefix, one in 65,536, are shuffled and ranked.
     """
-    rows = df.withColumn("_bucket", F.substring(sort_key, 1, HASH_DIGITS))
+    rows = keys.select(stratum, sort_key, tie, F.substring(sort_key, 1, HASH_DIGITS).alias("_bucket"))
     counts = rows.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    cut = (
+    edge = (
         counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .join(F.broadcast(quota), stratum)
-        .where(F.col("_before") < F.col("take"))
-        .groupBy(stratum)
-        .agg(F.max(F.struct("_bucket", (F.col("take") - F.col("_before")).alias("_left"))).alias("_cut"))
+        .where((F.col("_before") < F.col("take")) & (F.col("take") <= F.col("_before") + F.col("_n")))
+        .select(stratum, "_bucket", (F.col("take") - F.col("_before")).alias("_left"))
     )
-    marked = rows.join(F.broadcast(cut), stratum).where(F.col("_bucket") <= F.col("_cut._bucket"))
-    in_cut = Window.partitionBy(stratum, "_bucket").orderBy(sort_key, tie)
-    whole = marked.where(F.col("_bucket") < F.col("_cut._bucket"))
-    edge = (
-        marked.where(F.col("_bucket") == F.col("_cut._bucket"))
-        .withColumn("_rank", F.row_number().over(in_cut))
-        .where(F.col("_rank") <= F.col("_cut._left"))
-        .drop("_rank")
+    in_edge = Window.partitionBy(stratum, "_bucket").orderBy(sort_key, tie)
+    return (
+        rows.join(F.broadcast(edge), [stratum, "_bucket"])
+        .withColumn("_rank", F.row_number().over(in_edge))
+        .where(F.col("_rank") == F.col("_left"))
+        .select(stratum, F.struct(sort_key, tie).alias("cut"))
     )
-    return whole.unionByName(edge).drop("_bucket", "_cut")

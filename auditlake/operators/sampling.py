@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.operators import filters as P
 from auditlake.operators import ordering as O
+from auditlake.session import materialize
 
 
 def sampling_pool(
@@ -65,25 +66,26 @@ def stratified_sample(
     """Seeded sample without replacement, half priority workplaces and half others.
 
     The draw is the lowest hashes per stratum, so it does not depend on partitioning and a
-    retried task draws the same rows.
+    retried task draws the same rows. Telling which reports have a text reads the texts; that
+    pass keeps keys and hashes only and is written once. Sizes and the cut come from there, and
+    a second pass filters the wide rows by the cut without moving them.
     """
-    pool = df.where(P.unlabelled(label, text) & P.date_range("procedure_start_date", first, last))
-    sizes = sample_sizes(sampling_pool(df, first, last, label, text), count, pct)
-    quota = sizes.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("priority").alias("stratum"), F.col("priority_take").alias("take")),
-                F.struct(F.lit("other").alias("stratum"), F.col("other_take").alias("take")),
-            )
-        )
-    )
-    keyed = pool.withColumns(
+    pool = df.where(P.unlabelled(label, text) & P.date_range("procedure_start_date", first, last)).withColumns(
         {
             "stratum": F.when(P.priority_workplace(), "priority").otherwise("other"),
             "_hash": O.hash_order(F.col(key), seed),
         }
     )
-    return O.take_lowest(keyed, "stratum", "_hash", key, quota).drop("_hash")
+    keys = materialize(pool.select("stratum", "_hash", key), "sample-keys")
+    in_stratum = {s: F.count_if(F.col("stratum") == s).alias(f"{s}_count") for s in ("priority", "other")}
+    quota = sample_sizes(keys.agg(*in_stratum.values()), count, pct).select(
+        F.inline(
+            F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(f"{s}_take").alias("take")) for s in in_stratum])
+        )
+    )
+    cut = F.broadcast(O.lowest_cut(keys, "stratum", "_hash", key, quota))
+    drawn = pool.join(cut, "stratum").where(F.struct("_hash", key) <= F.col("cut"))
+    return drawn.drop("_hash", "cut")
 
 
 def label_sheet(sample: DataFrame, key: str = "accession_no", text: str = "text_report") -> DataFrame:
