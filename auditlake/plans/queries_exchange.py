@@ -159,7 +159,7 @@ def import_history(spark, sf_dir):
         ('gt_llm', 'gt_llm'), ('gt_manual', 'gt_manual'), ('tb', 'tb_llm'), ('PROCEDURE_START_DATE', 'procedure_start_date'),
         ('Time to clinical_decision(mins)', 'time_to_clinical_decision_seconds'),
         ('REPORT_TURN_AROUND_TIME', 'time_to_clinical_decision_seconds (fallback)'), ('Colour', NULL))
-    SELECT header, field, (SELECT count(*) FROM studies) AS rows, 'TEXT_REPORT,lunit_binarised' AS missing_expected FROM h"""))
+    SELECT header, field, (SELECT count(*) FROM studies) AS rows, 'TEXT_REPORT,' || '@P' AS missing_expected FROM h""".replace("@P", S.PREDICTION_HEADER)))
 def import_mapping(spark, sf_dir):
     """Which header of an import feeds which field, and what is missing."""
     df = exports.read_import(spark, _csv(_history(spark, sf_dir), "history")).drop(intake.ROW_ORDER)

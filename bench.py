@@ -1,7 +1,7 @@
-"""Time every registered query: prints one JSON line with seconds per query.
+"""Time the headline queries: prints one JSON line with seconds per query.
 
 Environment: BENCH_SF_DIR, BENCH_CPUS, BENCH_REPEATS (timed runs after one warm-up; the median
-counts), BENCH_QUERIES (comma list of names; all by default).
+counts), BENCH_QUERIES (comma list of names, or ``all`` for every registered query).
 """
 
 from __future__ import annotations
@@ -19,6 +19,17 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from auditlake.plans import registry  # noqa: E402
 from auditlake.session import build_session  # noqa: E402
 
+HEADLINE = (
+    "prediction_by_threshold", "site_confusion_metrics", "manual_site_metrics", "kappa_agreement", "mcnemar_exact",
+    "contingency_table", "disagreement_cases", "top_finding", "turnaround_times", "time_stats_quantiles",
+    "price_quantiles", "time_summary", "box_plot_stats", "weekly_site_metrics", "weekly_balanced_accuracy",
+    "control_band_status", "quick_counts", "clean_report_text", "typed_scores", "first_row_dedupe", "merge_exports",
+    "parse_model_json", "study_search", "document_search", "filtered_page", "filter_options", "stratified_sample",
+    "encode_findings", "priority_scores", "semi_algorithmic_grade", "nearest_term", "insert_if_absent",
+    "upsert_non_null", "apply_manual_labels", "edit_rows", "streaming_weekly_metrics", "full_report_sections",
+    "upload_to_store",
+)
+
 
 def run(query, spark, sf_dir: str) -> float:
     start = time.perf_counter()
@@ -41,7 +52,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    names = only or list(registry.QUERIES)
+    names = list(registry.QUERIES) if only == ["all"] else only or list(HEADLINE)
     run(registry.QUERIES[names[0]], spark, sf_dir)
     seconds: dict[str, float] = {}
     for name in names:
