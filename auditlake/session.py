@@ -26,16 +26,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session that names none (tests on
-    one machine) falls back to a temporary folder, which is then set for the session.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session, whose driver and
+    executors share one machine, may leave it unset and then gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="auditlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="auditlake-")
+        _own[context.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
