@@ -31,6 +31,14 @@ def _mask(x: Column) -> Column:
     return x.bitwiseAND(F.lit(MODULUS_MASK))
 
 
+def _add_hash(k: int):
+    return lambda a, p: _mask(a + _mask(F.xxhash64(F.lit(k), p)))
+
+
+def _add_bits(j: int):
+    return lambda a, h: _mask(a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_EVERY_21ST)))
+
+
 def vector(text: Column) -> Column:
     """The fingerprint of a text as an array of ``STRONG + COUNTERS + 1`` longs; null counts as empty.
 
@@ -45,13 +53,11 @@ def vector(text: Column) -> Column:
         return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
     hashes = F.flatten(F.transform(paragraphs, zipped))
-    strong = [
-        F.aggregate(paragraphs, F.lit(0).cast("long"), lambda a, p, k=k: _mask(a + _mask(F.xxhash64(F.lit(k), p)))) for k in range(STRONG)
-    ]
-    counts = lambda hs: [
-        F.aggregate(hs, F.lit(0).cast("long"), lambda a, h, j=j: _mask(a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_EVERY_21ST))))
-        for j in range(COUNTERS)
-    ]
+    strong = [F.aggregate(paragraphs, F.lit(0).cast("long"), _add_hash(k)) for k in range(STRONG)]
+
+    def counts(hs: Column) -> list[Column]:
+        return [F.aggregate(hs, F.lit(0).cast("long"), _add_bits(j)) for j in range(COUNTERS)]
+
     # The list of hashes is bound once, by a lambda over a list that holds it.
     counted = F.transform(F.array(hashes), lambda hs: F.array(*counts(hs), F.size(hs).cast("long")))[0]
     return F.concat(F.array(*strong), counted)
