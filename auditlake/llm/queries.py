@@ -62,7 +62,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = "list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\x0b\\x0c]+'), x -> x <> '')"
+_WORDS = "list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\x0b\\x0c]+'), lambda x: x <> '')"
 
 
 @query(f"""
@@ -71,18 +71,18 @@ WITH split AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
 lines AS (SELECT doc_id, line_no, {_WORDS} AS w FROM split),
 long AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS s FROM lines WHERE len(w) >= 4),
-firsts AS (SELECT s, min(w) AS w, min(struct_pack(d := doc_id, n := line_no)) AS at FROM long GROUP BY s),
-cut AS (SELECT s, at, w, unnest(range(1, len(w) + 1)) AS p FROM firsts WHERE len(w) >= 8),
-gone AS (SELECT s, at, p, array_to_string(w[:p - 1] || w[p + 1:], ' ') AS v FROM cut),
+firsts AS (SELECT s, min(w) AS w, min(struct_pack(d := doc_id, n := line_no)) AS spot FROM long GROUP BY s),
+cut AS (SELECT s, spot, w, unnest(range(1, len(w) + 1)) AS p FROM firsts WHERE len(w) >= 8),
+gone AS (SELECT s, spot, p, array_to_string(w[:p - 1] || w[p + 1:], ' ') AS v FROM cut),
 pairs AS (
-  SELECT x.s, y.at FROM gone x JOIN gone y ON x.v = y.v AND x.p = y.p AND y.at < x.at
-  UNION ALL SELECT x.s, y.at FROM gone x JOIN firsts y ON x.v = y.s AND len(y.w) >= 8 AND y.at < x.at
-  UNION ALL SELECT y.s, x.at FROM gone x JOIN firsts y ON x.v = y.s AND len(y.w) >= 8 AND x.at < y.at),
-near AS (SELECT s, min(at) AS at FROM pairs GROUP BY s)
-SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, coalesce(n.at, f.at).d AS kept_doc_id,
-       CAST(coalesce(n.at, f.at).n AS INT) AS kept_line_no, CASE WHEN n.at IS NOT NULL THEN 1 ELSE 0 END AS edits
+  SELECT x.s, y.spot FROM gone x JOIN gone y ON x.v = y.v AND x.p = y.p AND y.spot < x.spot
+  UNION ALL SELECT x.s, y.spot FROM gone x JOIN firsts y ON x.v = y.s AND len(y.w) >= 8 AND y.spot < x.spot
+  UNION ALL SELECT y.s, x.spot FROM gone x JOIN firsts y ON x.v = y.s AND len(y.w) >= 8 AND x.spot < y.spot),
+near AS (SELECT s, min(spot) AS spot FROM pairs GROUP BY s)
+SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, coalesce(n.spot, f.spot).d AS kept_doc_id,
+       CAST(coalesce(n.spot, f.spot).n AS INT) AS kept_line_no, CASE WHEN n.spot IS NOT NULL THEN 1 ELSE 0 END AS edits
 FROM long l JOIN firsts f USING (s) LEFT JOIN near n USING (s)
-WHERE struct_pack(d := l.doc_id, n := l.line_no) <> f.at OR n.at IS NOT NULL
+WHERE struct_pack(d := l.doc_id, n := l.line_no) <> f.spot OR n.spot IS NOT NULL
 """)
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line to drop, with the earlier line that makes it superfluous."""
