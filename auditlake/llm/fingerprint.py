@@ -128,15 +128,22 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     rows = rows.withColumn("k", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     keys = rows.groupBy("doc_id", "k").agg(F.expr("min(n_chars) div 2").alias("half"))
     order = materialize(next_documents(keys), "fingerprint-next")
-    wide = rows.withColumn("v", vector(F.col("text")))
-    role = order.select(F.col("next_id").alias("t_id"), F.col("next_k").alias("t_k"), "doc_id", "k", "half")
-    one = Window.partitionBy("doc_id", "k").orderBy("n_chars")
-    numbered = wide.withColumn("copy", F.row_number().over(one))
-    source = numbered.where(F.col("copy") == 1).select(
-        F.col("doc_id").alias("s_id"), F.col("k").alias("s_k"), F.col("text").alias("s_text"), F.col("v").alias("next_v"))
-    given = source.join(role, F.col("s_id").eqNullSafe(F.col("t_id")) & (F.col("s_k") == F.col("t_k")))
-    given = given.select(F.col("doc_id").alias("g_id"), F.col("k").alias("g_k"), "half", F.expr("substring(s_text, 1, int(half))").alias("given"), "next_v")
-    met = numbered.join(given, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("k") == F.col("g_k")))
+    # ``i`` stands for a null id too, so that joins need no null-safe comparison.
+    stand_in = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
+    wide = rows.select(stand_in("doc_id").alias("i"), "k", "doc_id", "text", "n_chars")
+    prints = wide.select("i", "k", vector(F.col("text")).alias("v")).groupBy("i", "k").agg(F.first("v").alias("v"))
+    prints = materialize(prints, "fingerprint-vectors")
+    order = order.select(stand_in("doc_id").alias("i"), "k", "half", stand_in("next_id").alias("next_i"), "next_k")
+    pairs = order.join(prints, ["i", "k"]).join(prints.select(F.col("i").alias("next_i"), F.col("k").alias("next_k"), F.col("v").alias("next_v")), ["next_i", "next_k"])
+    pairs = materialize(pairs, "fingerprint-pairs")
+    # A document as itself and as another's next one reads the same shuffle of texts by (i, k). For that both ask for the
+    # same columns; and copies are counted by a running sum, since a filtered rank would be cut short before the shuffle.
+    running = Window.partitionBy("i", "k").orderBy("doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = wide.withColumn("copy", F.sum(F.lit(1)).over(running))
+    source = numbered.where(F.col("copy") == 1).join(
+        pairs.select(F.col("next_i").alias("i"), F.col("next_k").alias("k"), F.col("i").alias("g_i"), F.col("k").alias("g_k"), "half"), ["i", "k"])
+    given = source.select(F.col("g_i").alias("i"), F.col("g_k").alias("k"), "half", F.expr("substring(text, 1, int(half))").alias("given"))
+    met = numbered.join(given, ["i", "k"]).join(pairs.select("i", "k", "v", "next_v"), ["i", "k"])
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - half))"), "given")
     met = met.select("doc_id", "n_chars", "v", "next_v", edited.alias("edited"))
     met = met.select("doc_id", "n_chars", "v", "next_v", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), vector(F.col("edited")).alias("edited_v"))
