@@ -15,6 +15,11 @@ FALSE_WORDS = ("false", "0", "0.0")
 TIMESTAMP_FORMATS = (
     "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy",
     "dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy",
+    # Single digits, times without seconds and 12-hour clocks; month first, and day first where that cannot be a month.
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+    "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a",
+    "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy", "yyyyMMdd HH:mm:ss", "yyyyMMdd", "d MMM yyyy H:mm", "d MMM yyyy",
+    "d-MMM-yyyy H:mm", "d-MMM-yyyy", "d-MMM-yy H:mm:ss", "d-MMM-yy H:mm", "d-MMM-yy", "MMM d, yyyy H:mm", "MMM d, yyyy",
 )
 
 

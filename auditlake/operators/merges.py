@@ -148,15 +148,22 @@ def first_messages(outcomes: DataFrame, limit: int = 50, row_no: str = "row_no")
 
 
 def apply_labels(store: DataFrame, labels: DataFrame, field: str = "gt_manual") -> DataFrame:
-    joined = store.join(labels.select(KEY, F.col("label").alias("_label")), KEY, "left")
+    # One label per key, whatever the caller folded: a repeated key must not repeat the study.
+    one = labels.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.max("label").alias("_label"))
+    joined = store.join(one, KEY, "left")
     kind = dict(store.dtypes)[field]
     return joined.withColumn(field, F.coalesce(F.col("_label").cast(kind), F.col(field))).select(*store.columns)
 
 
 def backfill_merge(store: DataFrame, found: DataFrame, fields: Sequence[str] = S.LLM_FINDING_FIELDS) -> DataFrame:
-    """Set the extracted findings that are not null; everything else stays."""
+    """Set the extracted findings that are not null; everything else stays.
+
+    Several rows of one key are folded first; where they disagree, a finding that is present wins.
+    """
     fields = [f for f in fields if f in found.columns]
-    right = found.select(KEY, *[F.col(f).alias(f"_new_{f}") for f in fields])
+    if not fields:
+        return store
+    right = found.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*[F.max(f).alias(f"_new_{f}") for f in fields])
     kinds = dict(store.dtypes)
     joined = store.join(right, KEY, "left")
     return joined.withColumns(

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from auditlake import schema as S
 from auditlake.operators import merges as M
+from auditlake.operators.intake import first_per_key
 from auditlake.operators.sizing import broadcast_keys
 from auditlake.session import materialize
 
@@ -120,10 +121,18 @@ class StudyTable:
 
     def insert(self, incoming: DataFrame, order: Sequence[str], batch_id: str) -> int:
         """Insert if absent; running it again adds nothing."""
-        return self._write(M.insert_if_absent(self.read(), incoming, order, batch_id))
-
-    def upsert(self, incoming: DataFrame) -> None:
-        """Insert new keys and overwrite known ones with values that are not null."""
+        pinned = materialize(incoming, "insert")
+        return self._write(M.insert_if_absent(self.read(), pinned, order, batch_id))
+
+    def upsert(self, incoming: DataFrame, order: Sequence[str] = ()) -> None:
+        """Insert new keys and overwrite known ones with values that are not null.
+
+        Rows without a key are left out, and of several rows of a key the first counts (by ``order``, else by all columns). The
+        batch is written once, so finding the months and merging see the same rows.
+        """
+        extra = [c for c in order if c not in S.STUDY_TYPES]
+        keyed = incoming.where(F.col(M.KEY).isNotNull())
+        incoming = materialize(first_per_key(keyed, M.KEY, list(order) or keyed.columns).drop(*extra), "upsert")
         months = self._months_of_keys(incoming)
         store = self.read(months) if months else self.spark.createDataFrame([], self.schema)
         now = F.current_timestamp()

@@ -29,10 +29,14 @@ def ingest(stream: DataFrame, table: StudyTable, order: Sequence[str], checkpoin
     query.awaitTermination()
 
 
-def weekly_windows(stream: DataFrame, ts: str, aggs: Sequence[Column], lateness: str, by: Sequence[str] = ()) -> DataFrame:
-    """Monday-to-Monday windows; the epoch was a Thursday, so windows start four days off it."""
+def weekly_windows(stream: DataFrame, ts: str, aggs: Sequence[Column], lateness: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Monday-to-Monday windows; the epoch was a Thursday, so windows start four days off it.
+
+    The state is one row per week and group, so it is kept by default: rows of a backlog count in any order of their
+    files. With ``lateness`` a watermark drops weeks, and rows that come later than that.
+    """
     return (
-        stream.withWatermark(ts, lateness)
+        (stream.withWatermark(ts, lateness) if lateness else stream)
         .groupBy(F.window(ts, "7 days", startTime="4 days"), *by)
         .agg(*aggs)
         .withColumn("week", F.col("window.start").cast("date"))
@@ -40,7 +44,7 @@ def weekly_windows(stream: DataFrame, ts: str, aggs: Sequence[Column], lateness:
     )
 
 
-def weekly_confusion(stream: DataFrame, label: str, prediction: str, ts: str, lateness: str = "14 days") -> DataFrame:
+def weekly_confusion(stream: DataFrame, label: str, prediction: str, ts: str, lateness: str | None = None) -> DataFrame:
     return with_ratios(weekly_windows(stream, ts, cell_counts(label, prediction), lateness))
 
 
