@@ -207,7 +207,7 @@ def test_chat_round_trip(spark):
 
 def test_pii_base_kinds():
     anchors = pii.automaton()
-    text = "a@b@c.com x.y@z.org. 1.2.3.4.5.6.7.8 300.1.1.1 c 4111 1111-1111 1111 +1 (555) 010-9999 +12 é@é token = \"abcdefgh12345\" DE89 3704 0044 0532 0130 00 https://me:pw@host.org/"
+    text = "a@b@c.com x.y@z.org. 1.2.3.4.5.6.7.8 300.1.1.1 c 4111 1111-1111 1111 +1 (555) 010-9999 +12 é@é token = \"abcdefgh12345\" IBAN DE89 3704 0044 0532 0130 00 https://me:pw@host.org/"
     got = pii.spans_of(text, anchors)
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
     want = [("email", *m.span()) for m in re.finditer(patterns["email"], text)]
