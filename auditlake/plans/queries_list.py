@@ -15,9 +15,9 @@ _HIT = " OR ".join(
 )
 
 
-@query(B.oracle(f"SELECT accession_no, site FROM store WHERE {_HIT.format(q='er0123')}", store=True))
+@query(B.oracle(f"SELECT accession_no, site FROM store WHERE {_HIT.format(q='12')}", store=True))
 def study_search(spark, sf_dir):
-    return P.apply_filters(B.store(spark, sf_dir), query=" ER0123 ").select("accession_no", "site")
+    return P.apply_filters(B.store(spark, sf_dir), query=" 12 ").select("accession_no", "site")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'ée')")
