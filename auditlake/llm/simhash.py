@@ -18,6 +18,9 @@ a bound. At 0.8 the fingerprints of such documents differ in about ten bits of 6
 parts of a fingerprint are too short to serve as keys; there, blocks come from bands of minima of
 shingle hashes. The bit-sliced comparison within a block is the same, with a wider fingerprint and a wider
 radius; its forest takes the closest pairs first, and the pairs in it are checked on the whole texts.
+Where a pair of a forest fails the check and its texts are not connected otherwise, the block is looked at
+again with four times as many forests that share no pair, until its classes hold or all its pairs have been
+checked. So no candidate pair is left out, and all pairs of a block are written only where nothing less decides.
 """
 
 from __future__ import annotations
@@ -182,17 +185,29 @@ def kruskal(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.nd
     return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links, closest first: at most n - 1 edges (i, j).
+def forest(
+    n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], forests: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j) of ``forests`` spanning forests that share no edge, closest first, and the vertices of dropped pairs.
 
-    What was seen so far is cut down to its own forest whenever it grows, so memory stays bounded.
+    A forest has at most n - 1 edges. What was seen so far is cut down whenever it grows, so memory stays bounded.
+    The last array tells the vertices of which some pair was dropped.
     """
     held = tuple(np.empty(0, np.int64) for _ in range(3))
     waiting, size = [], 0
+    dropped = np.zeros(n, bool)
 
     def cut():
         i, j, d = (np.concatenate([held[k], *(x[k] for x in waiting)]) for k in range(3))
-        keep = kruskal(n, i, j, d)
+        rest, kept = np.arange(len(i)), []
+        for _ in range(forests):
+            if not len(rest):
+                break
+            keep = kruskal(n, i[rest], j[rest], d[rest])
+            kept.append(rest[keep])
+            rest = np.delete(rest, keep)
+        dropped[i[rest]] = True
+        keep = np.concatenate(kept) if kept else np.empty(0, np.int64)
         return i[keep], j[keep], d[keep]
 
     for found in pairs:
@@ -200,42 +215,49 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
         size += len(found[0])
         if size > 1 << 20:
             held, waiting, size = cut(), [], 0
-    return cut()[:2]
+    i, j, _ = cut()
+    return i, j, dropped
+
+
+LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+GROUP_LINK = T.StructType([T.StructField("group", T.LongType()), *LINK.fields, T.StructField("complete", T.BooleanType())])
+
 
+def _links(groups: DataFrame, word_names: list[str], radius: int, forests: int = 1) -> DataFrame:
+    """Forest links (group, a, b, complete) between rows of a ``group`` that differ in ``label``.
 
-def _links(groups: DataFrame, id_name: str, word_names: list[str], radius: int, spark_schema: T.StructType) -> DataFrame:
-    """Forest links within the groups of ``group`` (rows co-located and sorted by it)."""
-    wide = len(word_names)
+    ``complete`` tells that all such pairs of the group within the radius are listed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids, words, group):
+        def solve(ids, label, group, words):
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            i, j = forest(len(ids), close_pairs(words, starts, radius))
+            apart = (tuple(x[label[p[0]] != label[p[1]]] for x in p) for p in close_pairs(words, starts, radius))
+            i, j, dropped = forest(len(ids), apart, forests)
             if len(i):
+                complete = ~np.logical_or.reduceat(dropped, starts)[np.searchsorted(starts, i, side="right") - 1]
                 a, b = ids[i], ids[j]
-                differ = a != b
-                a, b = a[differ], b[differ]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                columns = (group[i], np.minimum(a, b), np.maximum(a, b), complete)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=GROUP_LINK.names)
 
         held = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            group = batch.column(1).to_numpy(zero_copy_only=False)
-            words = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(wide)], axis=1)
+            ids, label, group, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            now = (ids, label, group, np.stack([w.view(np.uint64) for w in words], axis=1))
             if held is not None:
-                ids, group, words = (np.concatenate(x) for x in zip(held, (ids, group, words), strict=True))
-            change = np.flatnonzero(group[1:] != group[:-1])
-            if not len(change) or len(ids) < 1 << 13:
-                held = (ids, group, words)  # at most two chunks of one block, or a small rest
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            change = np.flatnonzero(now[2][1:] != now[2][:-1])
+            if not len(change) or len(now[0]) < 1 << 13:
+                held = now  # at most two chunks of one block, or a small rest
                 continue
             cut = int(change[-1]) + 1
-            yield from solve(ids[:cut], words[:cut], group[:cut])
-            held = (ids[cut:], group[cut:], words[cut:])
+            yield from solve(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
         if held is not None and len(held[0]):
-            yield from solve(held[0], held[2], held[1])
+            yield from solve(*held)
 
-    narrow = groups.select(id_name, "group", *word_names)
-    return narrow.repartition("group").sortWithinPartitions("group").mapInArrow(run, spark_schema)
+    narrow = groups.select("id", "label", "group", *word_names)
+    return narrow.repartition("group").sortWithinPartitions("group").mapInArrow(run, GROUP_LINK)
 
 
 def deal(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -250,9 +272,6 @@ def deal(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.withColumn("group", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
 
 
-LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-
 def part_keys(fingerprint, parts: int = PARTS):
     """Keys under which two fingerprints of at most ``parts - 2`` differing bits meet: each pair of parts."""
     bounds = [64 * i // parts for i in range(parts + 1)]
@@ -273,8 +292,8 @@ def link_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     if radius > PARTS - 2:
         raise ValueError("the keys cover a radius of at most 3")
     blocks = prints.select("id", F.explode(part_keys(F.col("id"))).alias("key"))
-    groups = deal(blocks).withColumn("w0", F.col("id"))
-    links = _links(groups, "id", ["w0"], radius, LINK).distinct()
+    groups = deal(blocks).withColumns({"w0": F.col("id"), "label": F.col("id")})
+    links = _links(groups, ["w0"], radius).select("a", "b").distinct()
     return components.connect(materialize(links, "simhash-links"))
 
 
@@ -304,8 +323,8 @@ def simhash_classes(docs: DataFrame, radius: int = 3, size: int = 3, doc_id: str
 
 WIDE = 4  # words of 64 bits
 BANDS, BAND_ROWS = 14, 3
-#: Differing bits of 256 up to which a pair is checked: 38.7 expected at a similarity of 0.8, and 2.5 standard deviations.
-WIDE_RADIUS = 54
+#: Differing bits of 256 up to which a pair is checked: 38.7 expected at a similarity of 0.8, and 3.7 standard deviations.
+WIDE_RADIUS = 60
 
 
 def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,13 +379,37 @@ def near_duplicates(
     firsts = materialize(firsts, "near-texts")
     blocks = prints.select(F.col("text_key").alias("id"), F.explode("keys").alias("key")).distinct()
     groups = deal(blocks).select("id", "group").join(firsts.select(F.col("text_key").alias("id"), *names), "id")
-    links = materialize(_links(groups, "id", names, WIDE_RADIUS, LINK).distinct(), "near-links")
-    checked = materialize(_similar(links, narrow, similarity, size), "near-checked")
-    classes = components.connect(checked).select(F.col("id").alias("text_key"), "component")
+    forests, classes = 1, None
+    while True:
+        label = F.col("id") if classes is None else F.coalesce("component", "id")
+        labelled = groups if classes is None else groups.join(classes, "id", "left")
+        found = _links(labelled.withColumn("label", label), names, WIDE_RADIUS, forests)
+        found = materialize(found, "near-links")
+        checked = materialize(_similar(found.select("a", "b").distinct(), narrow, similarity, size), "near-checked")
+        # Classes so far go on as stars, so only what a round adds has to be connected.
+        links = checked if classes is None else checked.union(classes.select("id", "component"))
+        classes = materialize(components.connect(links), "near-classes")
+        opened = materialize(_undecided(found, classes), "near-opened")
+        if opened.isEmpty():
+            break
+        # Few blocks are left after the first round; from then on only those are read.
+        groups = materialize(groups.join(opened, "group", "left_semi"), "near-groups")
+        forests *= 4
+    classes = classes.withColumnRenamed("id", "text_key")
     placed = firsts.select("text_key", "first_id").join(classes, "text_key", "left")
     return placed.withColumn("component", F.coalesce("component", "text_key"))
 
 
+def _undecided(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups that left pairs out and of which a listed pair joins two classes."""
+    left_out = found.where(~F.col("complete")).select("group", "a", "b")
+    for end in ("a", "b"):
+        own = classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
+        left_out = left_out.join(own, end, "left")
+    apart = F.coalesce("a_class", "a") != F.coalesce("b_class", "b")
+    return left_out.where(apart).select("group").distinct()
+
+
 def _similar(links: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """The links whose texts have a Jaccard similarity of shingle sets of at least the bound."""
     wanted = links.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()

@@ -71,7 +71,7 @@ def test_close_pairs_and_forest():
                 if d <= 3:
                     want.add((i, j, d))
     assert got == want
-    i, _ = simhash.forest(300, simhash.close_pairs(words, starts, 3))
+    i, _, _ = simhash.forest(300, simhash.close_pairs(words, starts, 3))
     assert 0 < len(i) < 300
 
 
@@ -91,6 +91,45 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_forests_share_no_edge_and_end_with_all_pairs():
+    i, j = np.triu_indices(9, 1)
+    pairs = lambda: iter([(i, j, (i * 7 + j) % 5)])
+    for forests, edges in ((1, 8), (2, 15), (16, 36)):
+        a, b, dropped = simhash.forest(9, pairs(), forests)
+        assert len(a) >= edges and len(set(zip(a, b))) == len(a)
+        assert dropped.any() == (len(a) < 36)
+
+
+def test_near_duplicates_replace_links_that_fail(spark, monkeypatch):
+    """Many texts around the bound: classes equal those of all pairs, though closest sketches often fail the check."""
+    r = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(70):
+        words = list(base)
+        for at in r.choice(120, r.integers(1, 5), replace=False):
+            words[at] = f"x{r.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y):
+                    low[a] = low[b] = min(low[a], low[b])
+    assert 1 < len(set(low)) < len(low)
+    rounds = []
+    links = simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda g, w, r, n=1: rounds.append(n) or links(g, w, r, n))
+    monkeypatch.setattr(simhash, "WIDE_RADIUS", 90)  # one block, no candidate lost to the sketch
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = {}
+    for row in got:
+        first[row.component] = min(first.get(row.component, row.first_id), row.first_id)
+    assert [x for _, x in sorted((row.first_id, first[row.component]) for row in got)] == low
+    assert len(rounds) > 1
+
+
 def test_near_duplicates_keep_clean_documents(spark, docs):
     classes = {r.first_id: r.component for r in simhash.near_duplicates(docs).where("first_id is not null").collect()}
     assert classes[0] == classes[2] == classes[3]  # exact copy 1 has the text of 0
