@@ -136,7 +136,7 @@ def page(
     field = (sort or DEFAULT_SORT).lstrip("-")
     field = field if field in S.LISTED_FIELDS else DEFAULT_SORT.lstrip("-")
     descending = (sort or DEFAULT_SORT).startswith("-") or field != (sort or "").lstrip("-")
-    return _seek_page(df, field, descending, key, offset, per_page, total).orderBy(*order).limit(per_page)
+    return _seek_page(df, field, descending, key, offset).orderBy(*order).limit(per_page)
 
 
 def _sort_number(df: DataFrame, field: str, descending: bool) -> Column:
@@ -149,27 +149,31 @@ def _sort_number(df: DataFrame, field: str, descending: bool) -> Column:
     return c
 
 
-def _seek_page(
-    df: DataFrame, field: str, descending: bool, key: str, offset: int, size: int, total: int
-) -> DataFrame:
-    """Rows from the page's first one onwards, cut to a narrow superset of the page."""
-    if dict(df.dtypes)[field] == "string":
+def _seek_page(df: DataFrame, field: str, descending: bool, key: str, offset: int) -> DataFrame:
+    """Rows from the page's first one onwards, cut to a narrow superset of the page.
+
+    Nulls sort below all values and NaN above them; each kind is a tier of its own, whose rows the key orders.
+    """
+    kind = dict(df.dtypes)[field]
+    if kind == "string":
         return _seek_text_page(df, field, descending, key, offset)
-    nulls = 0 if descending else df.where(F.col(field).isNull()).count()
-    if offset < nulls:
-        at = _nth(df.where(F.col(field).isNull()), F.col(key), offset)
-        return df.where(F.col(field).isNotNull() | (F.col(key) >= at["value"]))
-    valued = df.where(F.col(field).isNotNull())
-    n_valued = total - nulls if not descending else valued.count()
-    sort_number = _sort_number(df, field, descending)
-    if offset - nulls >= n_valued:  # descending, inside the nulls at the end
-        at = _nth(df.where(F.col(field).isNull()), F.col(key), offset - n_valued)
-        return df.where(F.col(field).isNull() & (F.col(key) >= at["value"]))
-    at = _nth(valued, sort_number, offset - nulls)
-    tied = valued.where(sort_number == at["value"])
-    first = _nth(tied, F.col(key), offset - nulls - at["below"])
-    after = (sort_number > at["value"]) | ((sort_number == at["value"]) & (F.col(key) >= first["value"]))
-    return df.where(after | F.col(field).isNull()) if descending else df.where(after)
+    nan = F.isnan(F.col(field)) if kind in ("float", "double") else F.lit(False)
+    tier = F.when(F.col(field).isNull(), 0).when(nan, 2).otherwise(1)
+    tier = F.lit(2) - tier if descending else tier
+    counts = {r["tier"]: r["n"] for r in df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n")).collect()}
+    wanted = 0
+    while wanted < 2 and offset >= counts.get(wanted, 0):
+        offset -= counts.get(wanted, 0)
+        wanted += 1
+    same = df.where(tier == wanted)
+    if wanted != 1:
+        inside = F.col(key) >= _nth(same, F.col(key), offset)["value"]
+    else:
+        number = _sort_number(df, field, descending)
+        at = _nth(same, number, offset)
+        first = _nth(same.where(number == at["value"]), F.col(key), offset - at["below"])
+        inside = (number > at["value"]) | ((number == at["value"]) & (F.col(key) >= first["value"]))
+    return df.where((tier > wanted) | ((tier == wanted) & inside))
 
 
 def _seek_text_page(df: DataFrame, field: str, descending: bool, key: str, offset: int) -> DataFrame:

@@ -143,13 +143,21 @@ def backfill_merge(spark, sf_dir):
     return M.backfill_merge(rows, found).select("accession_no", F.col("atelectasis_llm").cast("int"))
 
 
-@query("""
-    SELECT doc_id AS accession_no, CAST(contains(lower(text), 'nodule') AS INT) AS nodule_llm,
-           CAST(contains(lower(text), 'fibrosis') AS INT) AS fibrosis_llm FROM documents""")
+#: Finding column -> the words that name it in a report.
+_NAMED = {
+    "atelectasis_llm": "atelectasis", "calcification_llm": "calcification", "cardiomegaly_llm": "cardiomegaly",
+    "consolidation_llm": "consolidation", "fibrosis_llm": "fibrosis", "mediastinal_widening_llm": "mediastinal widening",
+    "nodule_llm": "nodule", "pleural_effusion_llm": "pleural effusion", "pneumoperitoneum_llm": "pneumoperitoneum",
+    "pneumothorax_llm": "pneumothorax", "tb_llm": "tuberculosis",
+}
+
+
+@query("SELECT doc_id AS accession_no, " + ", ".join(
+    f"CAST(contains(lower(text), '{words}') AS INT) AS {field}" for field, words in _NAMED.items()) + " FROM documents")
 def detailed_findings(spark, sf_dir):
     found = scoring.dictionary_findings(F.col("text"))
     return B.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("accession_no"), *[found[c].alias(c) for c in ("nodule_llm", "fibrosis_llm")]
+        F.col("doc_id").alias("accession_no"), *[c.alias(f) for f, c in found.items()]
     )
 
 

@@ -181,19 +181,14 @@ def merge_exports(spark, sf_dir):
     return merged.withColumn("PROCEDURE_END_DATE", F.date_format("PROCEDURE_END_DATE", "yyyy-MM-dd"))
 
 
-_LIMITS = ", ".join(
-    f"('{site}', '{f}', {float(rules.complete_thresholds().get(site, S.THRESHOLDS['default'])[f])}::DOUBLE)"
-    for site in S.SITE_NAMES for f in B.SCORES
-)
-
-
-@query(B.oracle(f"""
-    , limits(site, finding, threshold) AS (VALUES {_LIMITS}),
-      long AS (SELECT site, 'nodule' AS finding, nodule AS score FROM studies UNION ALL
+@query(B.oracle("""
+    , long AS (SELECT site, 'nodule' AS finding, nodule AS score FROM studies UNION ALL
                SELECT site, 'consolidation', consolidation FROM studies UNION ALL
-               SELECT site, 'cardiomegaly', cardiomegaly FROM studies)
+               SELECT site, 'cardiomegaly', cardiomegaly FROM studies),
+      limited AS (SELECT *, CASE WHEN finding = 'nodule' AND site = 'YIS' THEN 5e0 WHEN finding = 'nodule' THEN 15e0 ELSE 10e0 END AS threshold
+                  FROM long)
     SELECT site, finding, threshold, count(*) AS studies, count(*) FILTER (WHERE score > threshold) AS above
-    FROM long JOIN limits USING (site, finding) GROUP BY site, finding, threshold"""))
+    FROM limited GROUP BY site, finding, threshold"""))
 def site_thresholds(spark, sf_dir):
     pairs = F.array(*[F.struct(F.lit(c).alias("finding"), F.col(c).alias("score")) for c in B.SCORES])
     long = B.studies(spark, sf_dir).select("site", F.inline(pairs))

@@ -176,13 +176,14 @@ def import_mapping(spark, sf_dir):
 
 
 @query(B.oracle(_OLDER + _LABELS.removeprefix(_OLDER) + """
-    SELECT CASE WHEN problem IS NULL THEN 'updated' ELSE 'skipped' END AS outcome, count(*) AS lines FROM chk GROUP BY 1"""))
+    , line AS (SELECT *, row_number() OVER (ORDER BY row_no) + 1 AS line_no FROM chk)
+    SELECT line_no AS row_no, accession_no, label, CASE WHEN problem IS NULL THEN 'updated' ELSE 'skipped' END AS outcome,
+           'Row ' || CAST(line_no AS VARCHAR) || ': ' || problem AS message FROM line"""))
 def labels_file(spark, sf_dir):
     """A labels file with a byte-order mark, read and checked against the store."""
-    sheet = _label_rows(spark, sf_dir).select(F.col("study").alias(f"{exports.BOM}study"), "verdict")
+    sheet = _label_rows(spark, sf_dir).orderBy("row_no").select(F.col("study").alias(f"{exports.BOM}study"), "verdict")
     rows = exports.read_labels(spark, _csv(sheet, "labels"))
-    checked = M.label_outcomes(_older(spark, sf_dir), rows, "study", "verdict")
-    return checked.groupBy("outcome").agg(F.count("*").alias("lines"))
+    return M.label_outcomes(_older(spark, sf_dir), rows, "study", "verdict")
 
 
 def _period(rows):

@@ -32,6 +32,7 @@ def load() -> None:
         queries_classify,
         queries_exchange,
         queries_grade,
+        queries_import,
         queries_list,
         queries_metrics,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake import schema as S
@@ -76,10 +76,16 @@ def read_import(spark: SparkSession, path: str) -> DataFrame:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """A labels file with its line numbers; the header is line 1.
 
-    Label files are handed over by people and hold one unsplit file, whose row ids count up from 0.
+    Lines are counted through all files of the folder, by name, headers apart. A file that may hold line breaks is read
+    by one task from top to bottom, so a line's number is its row id less the file's first one, plus the lines of the files before.
     """
     df = read_csv(spark, path)
-    return df.select("*", (F.monotonically_increasing_id() + 2).alias("row_no"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    files = placed.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    shift = F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 2
+    shifts = files.select("_file", shift.alias("_shift"))
+    return placed.join(shifts, "_file").select(*[placed[f"`{c}`"] for c in df.columns], (F.col("_id") + F.col("_shift")).alias("row_no"))
 
 
 def kind_of(headers: Sequence[str]) -> tuple[str, list[str]]:

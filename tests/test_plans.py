@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 # These run several jobs while being built; their final plan is a plain read.
 EAGER = ("read_", "file_", "classify_", "import_", "labels_", "period_", "disagreement_exports", "view_export",
          "label_sheet_file", "upload_", "pipeline_result", "run_records", "study_table", "incremental", "streaming",
-         "grade_pipeline")
+         "grade_pipeline", "backfill_range", "backfill_counts")
 LAZY = [n for n in entry.queries() if not n.startswith(EAGER)]
 
 
