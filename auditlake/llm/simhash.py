@@ -19,13 +19,14 @@ parts of a fingerprint are too short to serve as keys; there, blocks come from b
 shingle hashes. The bit-sliced comparison within a block is the same, with a wider fingerprint and a wider
 radius; its forest takes the closest pairs first, and the pairs in it are checked on the whole texts.
 Where a pair of a forest fails the check and its texts are not connected otherwise, the block is looked at
-again with four times as many forests that share no pair, until its classes hold or all its pairs have been
-checked. So no candidate pair is left out, and all pairs of a block are written only where nothing less decides.
+again, now with the sets of shingle hashes of its texts beside the fingerprints: the task checks the pairs itself,
+closest first, passes over those whose texts are connected by then, and returns only links that join classes. So
+no candidate pair is left out, and a block never writes more links than it has texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,8 @@ SEED = 42
 PARTS = 5
 #: Fingerprints of one block that are compared in one task; larger blocks are dealt out in chunks of this many.
 CHUNK = 2048
+#: Shingle hashes of one chunk where a task checks pairs itself (16 MB).
+CHUNK_HASHES = 1 << 21
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -185,12 +188,10 @@ def kruskal(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.nd
     return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
-def forest(
-    n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], forests: int = 1
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (i, j) of ``forests`` spanning forests that share no edge, closest first, and the vertices of dropped pairs.
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j) of a spanning forest, closest first, and the vertices of dropped pairs.
 
-    A forest has at most n - 1 edges. What was seen so far is cut down whenever it grows, so memory stays bounded.
+    The forest has at most n - 1 edges. What was seen so far is cut down whenever it grows, so memory stays bounded.
     The last array tells the vertices of which some pair was dropped.
     """
     held = tuple(np.empty(0, np.int64) for _ in range(3))
@@ -199,15 +200,8 @@ def forest(
 
     def cut():
         i, j, d = (np.concatenate([held[k], *(x[k] for x in waiting)]) for k in range(3))
-        rest, kept = np.arange(len(i)), []
-        for _ in range(forests):
-            if not len(rest):
-                break
-            keep = kruskal(n, i[rest], j[rest], d[rest])
-            kept.append(rest[keep])
-            rest = np.delete(rest, keep)
-        dropped[i[rest]] = True
-        keep = np.concatenate(kept) if kept else np.empty(0, np.int64)
+        keep = kruskal(n, i, j, d)
+        dropped[np.delete(i, keep)] = True
         return i[keep], j[keep], d[keep]
 
     for found in pairs:
@@ -219,52 +213,134 @@ def forest(
     return i, j, dropped
 
 
+def joining_pairs(
+    label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], at: np.ndarray, sets: np.ndarray, similarity: float
+) -> list[tuple[int, int]]:
+    """Pairs of similar rows that join classes of rows with equal ``label``, until all similar pairs are in one class.
+
+    Row r has the sorted set ``sets[at[r] : at[r + 1]]``. Pairs come closest first within each part of ``pairs``; those whose
+    rows are in one class by then, or whose sets differ too much in size, are passed over unchecked.
+    """
+    _, own = np.unique(label, return_inverse=True)
+    above = np.arange(own.max() + 1 if len(own) else 0)
+    n = np.diff(at)
+    joins = []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for i, j, distance in pairs:
+        order = np.argsort(distance, kind="stable")
+        i, j = i[order], j[order]
+        fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[fits], j[fits]
+        while len(i):
+            while (above[above] != above).any():
+                above = above[above]
+            apart = above[own[i]] != above[own[j]]
+            i, j = i[apart], j[apart]
+            for a, b in zip(i[:4096].tolist(), j[:4096].tolist(), strict=True):
+                x, y = top(own[a]), top(own[b])
+                if x != y:
+                    both = np.concatenate([sets[at[a] : at[a + 1]], sets[at[b] : at[b + 1]]])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if shared >= similarity * (len(both) - shared) - 1e-9:
+                        above[max(x, y)] = min(x, y)
+                        joins.append((a, b))
+            i, j = i[4096:], j[4096:]
+    return joins
+
+
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 GROUP_LINK = T.StructType([T.StructField("group", T.LongType()), *LINK.fields, T.StructField("complete", T.BooleanType())])
 
 
-def _links(groups: DataFrame, word_names: list[str], radius: int, forests: int = 1) -> DataFrame:
+def _by_group(groups: DataFrame, columns: list[str], solve: Callable, schema: T.StructType) -> DataFrame:
+    """``solve(batch)`` for batches of whole groups, in order of ``group``; it returns an Arrow batch or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def found(parts):
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+            assert len(whole) <= 1
+            results = (solve(x) for x in whole)
+            return [x for x in results if x is not None]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("group").to_numpy()
+            change = np.flatnonzero(group[1:] != group[:-1]) + 1
+            if waiting and waiting[-1].column("group")[-1].as_py() != group[0]:
+                change = np.append(0, change)
+            large = sum(x.num_rows for x in waiting) + len(group) >= 1 << 13 or sum(x.nbytes for x in waiting) + batch.nbytes >= 1 << 26
+            if not len(change) or not large:
+                waiting.append(batch)  # at most two chunks of one block, or a small rest
+                continue
+            cut = int(change[-1])
+            yield from found([*waiting, batch.slice(0, cut)])
+            waiting = [batch.slice(cut)]
+        yield from found(waiting)
+
+    return groups.select(*columns).repartition("group").sortWithinPartitions("group").mapInArrow(run, schema)
+
+
+def _columns(batch: pa.RecordBatch, word_names: list[str]) -> tuple[np.ndarray, ...]:
+    """ids, labels, groups, fingerprints and first rows of the groups."""
+    ids, label, group = (batch.column(n).to_numpy() for n in ("id", "label", "group"))
+    words = np.stack([batch.column(n).to_numpy().view(np.uint64) for n in word_names], axis=1)
+    return ids, label, group, words, np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+
+
+def _links(groups: DataFrame, word_names: list[str], radius: int) -> DataFrame:
     """Forest links (group, a, b, complete) between rows of a ``group`` that differ in ``label``.
 
     ``complete`` tells that all such pairs of the group within the radius are listed.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids, label, group, words):
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            apart = (tuple(x[label[p[0]] != label[p[1]]] for x in p) for p in close_pairs(words, starts, radius))
-            i, j, dropped = forest(len(ids), apart, forests)
-            if len(i):
-                complete = ~np.logical_or.reduceat(dropped, starts)[np.searchsorted(starts, i, side="right") - 1]
-                a, b = ids[i], ids[j]
-                columns = (group[i], np.minimum(a, b), np.maximum(a, b), complete)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=GROUP_LINK.names)
-
-        held = None
-        for batch in batches:
-            ids, label, group, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            now = (ids, label, group, np.stack([w.view(np.uint64) for w in words], axis=1))
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            change = np.flatnonzero(now[2][1:] != now[2][:-1])
-            if not len(change) or len(now[0]) < 1 << 13:
-                held = now  # at most two chunks of one block, or a small rest
-                continue
-            cut = int(change[-1]) + 1
-            yield from solve(*(x[:cut] for x in now))
-            held = tuple(x[cut:] for x in now)
-        if held is not None and len(held[0]):
-            yield from solve(*held)
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, label, group, words, starts = _columns(batch, word_names)
+        apart = (tuple(x[label[p[0]] != label[p[1]]] for x in p) for p in close_pairs(words, starts, radius))
+        i, j, dropped = forest(len(ids), apart)
+        if not len(i):
+            return None
+        complete = ~np.logical_or.reduceat(dropped, starts)[np.searchsorted(starts, i, side="right") - 1]
+        a, b = ids[i], ids[j]
+        columns = (group[i], np.minimum(a, b), np.maximum(a, b), complete)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=GROUP_LINK.names)
+
+    return _by_group(groups, ["id", "label", "group", *word_names], solve, GROUP_LINK)
+
+
+def _checked_links(groups: DataFrame, word_names: list[str], radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between rows of a ``group`` whose ``hashes`` are similar, as few as join their classes (``label``)."""
 
-    narrow = groups.select("id", "label", "group", *word_names)
-    return narrow.repartition("group").sortWithinPartitions("group").mapInArrow(run, GROUP_LINK)
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, label, _, words, starts = _columns(batch, word_names)
+        lists = batch.column("hashes")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        sets = lists.values.to_numpy().view(np.uint64)
+        joins = joining_pairs(label, close_pairs(words, starts, radius), at, sets, similarity)
+        if not joins:
+            return None
+        a, b = (ids[list(x)] for x in zip(*joins, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=LINK.names)
 
+    return _by_group(groups, ["id", "label", "group", *word_names, "hashes"], solve, LINK)
 
-def deal(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+
+def deal(blocks: DataFrame, chunk: int = CHUNK, weight: str | None = None, heaviest: int = CHUNK_HASHES) -> DataFrame:
     """Rows with a ``key`` become rows of ``group``: a block of up to ``chunk`` rows is one group, a larger one is
-    dealt out to all pairs of its chunks, so every two rows of a block meet in some group."""
-    large = blocks.groupBy("key").count().where(F.col("count") > chunk)
-    large = large.select("key", F.ceil(F.col("count") / chunk).cast("int").alias("n_chunks"))
+    dealt out to all pairs of its chunks, so every two rows of a block meet in some group. With a column ``weight``,
+    chunks also hold about ``heaviest`` of its sum at most."""
+    n_chunks = F.ceil(F.count("*") / chunk)
+    if weight:
+        n_chunks = F.greatest(n_chunks, F.ceil(F.sum(weight) / heaviest))
+    large = blocks.groupBy("key").agg(n_chunks.cast("int").alias("n_chunks")).where("n_chunks > 1")
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("n_chunks")).cast("int")
     dealt = blocks.join(large, "key", "left").withColumn("own", F.coalesce(own, F.lit(0)))
     other = F.explode(F.when(F.col("n_chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
@@ -361,45 +437,53 @@ def near_duplicates(
     def score(at, raw):
         data = raw.tobytes()
         words = np.zeros((len(at) - 1, WIDE), np.uint64)
-        keys: list = []
+        sizes, keys = [], []
         for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             h = np.unique(hashes(shingles(data[a:b], size)))
+            sizes.append(len(h))
             if len(h):
                 words[r], k = sketch(h)
                 keys.append(k.view(np.int64))
             else:
                 keys.append([0])
-        return [*(pa.array(words[:, k].view(np.int64)) for k in range(WIDE)), keys]
+        return [*(pa.array(words[:, k].view(np.int64)) for k in range(WIDE)), sizes, keys]
 
-    kinds = [*((n, T.LongType()) for n in names), ("keys", T.ArrayType(T.LongType()))]
+    kinds = [*((n, T.LongType()) for n in names), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
     sketched = append_columns(narrow.select("doc_id", "text_key", "text"), "text", kinds, score).drop("text")
     prints = materialize(sketched, "near-prints")
     # Copies of a text have one key; its sketch is taken once.
-    firsts = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names))
+    firsts = prints.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in [*names, "size"]))
     firsts = materialize(firsts, "near-texts")
     blocks = prints.select(F.col("text_key").alias("id"), F.explode("keys").alias("key")).distinct()
     groups = deal(blocks).select("id", "group").join(firsts.select(F.col("text_key").alias("id"), *names), "id")
-    forests, classes = 1, None
-    while True:
-        label = F.col("id") if classes is None else F.coalesce("component", "id")
-        labelled = groups if classes is None else groups.join(classes, "id", "left")
-        found = _links(labelled.withColumn("label", label), names, WIDE_RADIUS, forests)
-        found = materialize(found, "near-links")
-        checked = materialize(_similar(found.select("a", "b").distinct(), narrow, similarity, size), "near-checked")
-        # Classes so far go on as stars, so only what a round adds has to be connected.
-        links = checked if classes is None else checked.union(classes.select("id", "component"))
-        classes = materialize(components.connect(links), "near-classes")
-        opened = materialize(_undecided(found, classes), "near-opened")
-        if opened.isEmpty():
-            break
-        # Few blocks are left after the first round; from then on only those are read.
-        groups = materialize(groups.join(opened, "group", "left_semi"), "near-groups")
-        forests *= 4
+    found = materialize(_links(groups.withColumn("label", F.col("id")), names, WIDE_RADIUS), "near-links")
+    links = materialize(_similar(found.select("a", "b").distinct(), narrow, similarity, size), "near-checked")
+    classes = materialize(components.connect(links), "near-classes")
+    opened = materialize(_undecided(found, classes), "near-opened")
+    if not opened.isEmpty():
+        rest = materialize(groups.join(opened, "group", "left_semi").withColumnRenamed("group", "key"), "near-open-blocks")
+        sets = materialize(_hash_sets(rest.select("id").distinct(), narrow, size), "near-sets")
+        dealt = deal(rest.join(firsts.select(F.col("text_key").alias("id"), "size"), "id"), weight="size")
+        dealt = dealt.select("id", "group", *names).join(classes, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        joined = materialize(_checked_links(dealt.join(sets, "id"), names, WIDE_RADIUS, similarity), "near-joined")
+        # Classes so far go on as stars.
+        classes = materialize(components.connect(joined.union(classes.select("id", "component"))), "near-classes")
     classes = classes.withColumnRenamed("id", "text_key")
     placed = firsts.select("text_key", "first_id").join(classes, "text_key", "left")
     return placed.withColumn("component", F.coalesce("component", "text_key"))
 
 
+def _hash_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, hashes) for the wanted texts: the sorted set of their shingle hashes."""
+
+    def score(at, raw):
+        data = raw.tobytes()
+        return [[np.unique(hashes(shingles(data[a:b], size))).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]]
+
+    texts = docs.withColumnRenamed("text_key", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return append_columns(texts, "text", [("hashes", T.ArrayType(T.LongType()))], score).select("id", "hashes")
+
+
 def _undecided(found: DataFrame, classes: DataFrame) -> DataFrame:
     """Groups that left pairs out and of which a listed pair joins two classes."""
     left_out = found.where(~F.col("complete")).select("group", "a", "b")
