@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import corpus_pipeline
 import oracle
 from auditlake.session import materialize
 from auditlake.llm import chat, components, decontam, fingerprint, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
@@ -224,6 +225,36 @@ def test_decontamination(spark, empty):
     assert not decontam.mark_leaks(table, bench.limit(0)).where(F.size("leaks_") > 0).count()
 
 
+def test_decontamination_of_parts(spark, monkeypatch):
+    lines = [sentence(k, 8) for k in range(70, 74)]
+    long = sentence(75, 60)
+    bench = spark.createDataFrame([(1, "\n".join(lines)), (2, long), (3, lines[3])], "item_id long, text string")
+    part = "é " + lines[2].upper() + " é"
+    edited = long[30:200].replace("a", "x", 2)
+    rows = [(1, part), (2, "new words " + edited + " and more"), (3, "\n".join(lines)), (4, sentence(76, 300)), (5, long[30:70]), (6, "x " + lines[3])]
+    table = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)
+    for limit in (decontam.MAX_INDEX_BYTES, 2000):  # one block and several
+        monkeypatch.setattr(decontam, "MAX_INDEX_BYTES", limit)
+        marked = {r.doc_id: sorted(r.leaks) for r in decontam.mark_leaks(table, bench).select("doc_id", "leaks").collect()}
+        assert [(x.item_id, x.whole, x.edits) for x in marked[1]] == [(1, False, 0)]
+        assert part[marked[1][0].start : marked[1][0].end] == lines[2].upper()
+        assert [(x.item_id, x.whole) for x in marked[2]] == [(2, False)] and marked[2][0].end - marked[2][0].start >= decontam.STRETCH
+        assert [(x.item_id, x.whole) for x in marked[3]] == [(1, True), (3, True)]
+        assert not marked[4] and not marked[5]
+        assert [(x.item_id, x.whole) for x in marked[6] if x.whole] == [(3, True)]
+
+
+def test_pipeline_finds_items_cut_by_line_dedup(spark, tmp_path):
+    lines = [sentence(k, 8) for k in range(80, 84)]
+    item = "\n".join(lines)
+    rows = [(1, "Words before. " + item), (2, "Other words. " + item), (3, sentence(85, 80))]
+    table = spark.createDataFrame([(i, t, "", "", len(t)) for i, t in rows], DOCS)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_repeated_lines(spark, table, str(tmp_path))
+    assert item not in {r.doc_id: r.text for r in left.collect()}[2]
+    assert [r.doc_id for r in corpus_pipeline.drop_leaks(spark, left, str(tmp_path)).collect()] == [3]
+
+
 def test_line_dedup_against_sql(spark):
     df = entry.queries()["op8_line_dedup"](spark, SF)
     assert oracle.differences(df, oracle.connect(SF), entry.oracle_sql()["op8_line_dedup"]) == []
