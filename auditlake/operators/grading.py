@@ -174,6 +174,9 @@ def grade_pipeline(
 
     Steps pass keys and grades on, never the reports: those narrow tables are joined with one
     another and meet the wide rows in a single last join.
+
+    Every row gets the grades of its own report. Inside, rows go by a digest of key, cleaned report
+    and given grades, so keys may repeat or be null; rows equal in all of them are graded once.
     """
     unknown = sorted(set(steps) - set(STEPS))
     if unknown:
@@ -181,9 +184,16 @@ def grade_pipeline(
     missing = [s for s in steps if s not in graders and s not in ("semialgo", "judge")]
     if missing:
         raise ValueError(f"no grader for steps: {missing}")
-    texts = df.select(key, clean_report(F.col(report)).alias(report))
     given = [c for c in ("priority_algo", "llm_grade", manual) if c and c in df.columns]
-    grades = df.select(key, *given)
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    cleaned = df.withColumn(report, clean_report(F.col(report)))
+    parts = [F.col(c) for c in dict.fromkeys([key, report, *given])]
+    cleaned = cleaned.withColumn(row, F.sha2(F.to_json(F.struct(*parts)), 256))
+    key = row  # from here on
+    texts = cleaned.select(key, report).dropDuplicates([key])
+    grades = cleaned.select(key, *given).dropDuplicates([key])
 
     if "semialgo" in steps:
         if "semialgo" in graders:
@@ -237,7 +247,7 @@ def grade_pipeline(
         grades = with_grades(grades, found, key)
     new = [c for c in grades.columns if c != key]
     kept = [c for c in df.columns if c not in new]
-    return with_grades(df.select(*kept).withColumn(report, clean_report(F.col(report))), grades, key)
+    return with_grades(cleaned.select(key, *kept), grades, key).drop(key)
 
 
 class TermGrader:

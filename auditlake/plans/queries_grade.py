@@ -220,6 +220,18 @@ def judge_equal_branch(spark, sf_dir):
     )
 
 
+def _offline_graders():
+    return {
+        "semialgo": partial(
+            grading.TermExtractor, list(D.FINDING_TERMS), list(D.DEVICE_TERMS), list(D.DIAGNOSIS_TERMS)
+        ),
+        "hybrid": EchoHybrid,
+        "llm": partial(grading.TermGrader, D.FINDING_TERMS),
+        "judge": AverageJudge,
+        "findings": grading.TermFindings,
+    }
+
+
 @query(_REPORTS + """
     , j AS (SELECT *, greatest(algo, llm) AS jg, CASE WHEN algo = llm THEN 3 WHEN algo > llm THEN 1 ELSE 2 END AS jc FROM grades)
     SELECT doc_id AS accession_no, algo::INT AS priority_algo, algo::INT AS priority_hybrid,
@@ -233,20 +245,32 @@ def judge_equal_branch(spark, sf_dir):
            CAST(contains(lower(t), 'tuberculosis') AS INT) AS tb_llm
     FROM j""")
 def grade_pipeline_offline(spark, sf_dir):
-    graders = {
-        "semialgo": partial(
-            grading.TermExtractor, list(D.FINDING_TERMS), list(D.DEVICE_TERMS), list(D.DIAGNOSIS_TERMS)
-        ),
-        "hybrid": EchoHybrid,
-        "llm": partial(grading.TermGrader, D.FINDING_TERMS),
-        "judge": AverageJudge,
-        "findings": grading.TermFindings,
-    }
     out = grading.grade_pipeline(
-        graded_reports(spark, sf_dir), grading.STEPS, graders, manual="priority_manual"
+        graded_reports(spark, sf_dir), grading.STEPS, _offline_graders(), manual="priority_manual"
     )
     return out.select(
         "accession_no", "priority_algo", "priority_hybrid", "hybrid_explanation", "llm_grade", "grade_status",
         "judge_grade", "judge_choice", "judge_explanation", "judge_ext_grade", "judge_ext_choice",
         "nodule_llm", "pleural_effusion_llm", "tb_llm",
     )
+
+
+@query(_REPORTS + """
+    , j AS (SELECT *, greatest(algo, llm) AS jg, CASE WHEN algo = llm THEN 3 WHEN algo > llm THEN 1 ELSE 2 END AS jc FROM grades),
+    again AS (SELECT * FROM j UNION ALL SELECT * FROM j WHERE doc_id % 4 = 1)
+    SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 3 END AS accession_no, algo::INT AS priority_algo,
+           algo::INT AS priority_hybrid, 'as scored: ' || CAST(algo AS VARCHAR) AS hybrid_explanation,
+           llm::INT AS llm_grade, 'ok' AS grade_status, jg::INT AS judge_grade, jc::INT AS judge_choice,
+           CASE WHEN manual IS NOT NULL THEN greatest(jg, manual) END::INT AS judge_ext_grade,
+           CAST(contains(lower(t), 'nodule') AS INT) AS nodule_llm
+    FROM again""")
+def grade_repeated_reports(spark, sf_dir):
+    """Three keys and null for all reports, and a quarter of the rows twice: every row gets its own grades, once."""
+    rows = graded_reports(spark, sf_dir).withColumn("doc_id", F.col("accession_no"))
+    rows = rows.unionByName(rows.where(F.col("doc_id") % 4 == 1))
+    rows = rows.withColumn("accession_no", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 3))
+    out = grading.grade_pipeline(rows, grading.STEPS, _offline_graders(), manual="priority_manual")
+    return out.select(
+        "doc_id", "accession_no", "priority_algo", "priority_hybrid", "hybrid_explanation", "llm_grade", "grade_status",
+        "judge_grade", "judge_choice", "judge_ext_grade", "nodule_llm",
+    )

@@ -65,3 +65,22 @@ def test_grades_are_pinned_by_writing_them(spark, reports):
     out = grading.grade_pipeline(reports, ["llm"], {"llm": partial(grading.TermGrader, D.FINDING_TERMS)})
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+class Counting:
+    """Grades by text length and notes what it was given."""
+
+    def __call__(self, report, *_):
+        return {"grade": len(report or ""), "explanation": report}
+
+
+def test_repeated_and_null_keys_keep_their_rows_and_grades(spark):
+    rows = [(1, "a", 1, 2), (1, "a", 1, 2), (1, "bb", 1, 2), (1, None, None, 2), (None, "ccc", 3, None), (None, "ccc", 3, None), (2, "dddd", 4, 1)]
+    df = spark.createDataFrame(rows, "accession_no long, text_report string, priority_algo int, manual int").withColumn("_row", F.lit("x"))
+    graders = {"hybrid": Counting, "llm": Counting, "judge": Higher}
+    out = grading.grade_pipeline(df, ["hybrid", "llm", "judge"], graders, manual="manual")
+    assert sorted(out.columns) == sorted([*df.columns, "priority_hybrid", "hybrid_explanation", "llm_grade", "grade_status", "judge_grade",
+                                          "judge_choice", "judge_explanation", "judge_ext_grade", "judge_ext_choice", "judge_ext_explanation"])
+    got = sorted(((r.accession_no, r.text_report, r.priority_hybrid, r.llm_grade, r.judge_grade) for r in out.collect()), key=str)
+    want = [(k, t, len(t or ""), len(t or ""), max(p or 0, len(t or ""))) for k, t, p, _ in rows]
+    assert got == sorted(want, key=str)
