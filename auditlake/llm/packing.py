@@ -13,8 +13,11 @@ within the class, which is computed from counts per bucket: no class is ever sor
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,9 @@ class Encoder:
     A space before a character other than white space always begins a pre-token, so a text can be cut there and
     its parts encoded on their own. Equal parts of a block are found by hash (and compared byte by
     byte), and each is encoded once.
+
+    Parts are encoded by tiktoken. Added tokens that a text spells, by the tokenizer's file of the same name (.json),
+    are cut out first and have their own ids, as in that tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,6 +66,13 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = Path(path).with_suffix(".json")
+        added = json.loads(own.read_text("utf-8")).get("added_tokens", []) if own.exists() else []
+        if any(t.get(f) for t in added for f in ("lstrip", "rstrip", "single_word")) or any(t["content"][:1] == " " for t in added):
+            raise ValueError("added tokens that take in or need their surroundings are not handled")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
@@ -78,6 +91,13 @@ class Encoder:
         head = np.zeros(len(raw), bool)
         head[space] = True
         heads = at[:-1][at[:-1] < at[1:]]
+        marks = self._marks(at, raw)
+        for a, z in marks:
+            # What precedes an added token ends there as at the end of a text: no cut before a last space.
+            head[max(a - 1, 0) : z] = False
+        for a, z in marks:
+            head[a] = True
+            head[z : z + 1] = True
         head[heads] = True
         starts = np.flatnonzero(head)
         lengths = np.diff(np.append(starts, len(raw)))
@@ -95,6 +115,13 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(per_part)])
         return total[np.searchsorted(starts, at)], flat
 
+    def _marks(self, at, raw) -> list[tuple[int, int]]:
+        """Where the texts spell added tokens."""
+        if self.marks is None:
+            return []
+        data = raw.tobytes()
+        return [m.span() for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for m in self.marks.finditer(data, a, z)]
+
     def _parts(self, raw, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of every part, and the ids. Parts that begin with the space before a word are encoded in one go."""
         follows = (raw[starts] == 0x20) & (lengths > 1)
@@ -109,7 +136,8 @@ class Encoder:
         rest = []
         others = np.flatnonzero(~follows)
         for k in others:
-            own = self._ids(raw[starts[k] : starts[k] + lengths[k]].tobytes().decode("utf-8"))
+            part = raw[starts[k] : starts[k] + lengths[k]].tobytes()
+            own = np.array([self.added[part]], np.uint32) if part in self.added else self._ids(part.decode("utf-8"))
             counts[k] = len(own)
             rest.append(own)
         if not rest:

@@ -200,6 +200,25 @@ def test_encoder_equals_tokenizer(text):
         assert ids[cut[k] : cut[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+END_OF_TEXT = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [
+    " <|endoftext|> x", END_OF_TEXT, END_OF_TEXT * 2, f"{END_OF_TEXT} {END_OF_TEXT}  {END_OF_TEXT}", f"a b  {END_OF_TEXT}  c", f" foo   {END_OF_TEXT}bar ",
+    f"x\n {END_OF_TEXT}\n y", f" {END_OF_TEXT}", f"{END_OF_TEXT} ", "<|endof", "text|> y", f"<|endoftext{END_OF_TEXT}|>", f"é{END_OF_TEXT}é",
+])
+def test_encoder_gives_added_tokens_their_ids(text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["some <|endof", text, "text|> plain words", text, " x"]
+    raw = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, raw)])
+    cut, ids = packing.Encoder(packing.vocabulary_path()).encode(at, np.frombuffer(b"".join(raw), np.uint8))
+    for k, t in enumerate(texts):
+        assert ids[cut[k] : cut[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_patterns_meet_demand():
     r = np.random.default_rng(0)
     demand = r.integers(1, 500, 60)
