@@ -32,6 +32,9 @@ KINDS = (*BASE, "login", "handle", "iban", "secret")
 #: Cues, lower case; found in the text in lower and upper case and capitalised.
 CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "iban")
 
+#: Characters after the cue within which a number may begin.
+IBAN_WINDOW = 60
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+(?::[^\s/@]*)?(?=@)")
 _HANDLE = re.compile(r"[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_@]|\.[A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_START = re.compile(r"(?=[A-Z]{2}[0-9]{2})")
 _SECRET = re.compile(r"[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9_+/=.-]{8,})")
 
 
@@ -70,6 +74,13 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def _iban_end(text: str, start: int) -> int:
+    """The end of the number that begins here, or 0: the longest prefix that passes the check; a word may follow it directly."""
+    m = _IBAN.match(text, start)
+    ends = range(m.end(), start + 14, -1) if m else ()
+    return next((end for end in ends if text[end - 1] != " " and iban_holds(text[start:end])), 0)
+
+
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind as listed in ``KINDS``, then by start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -109,14 +120,13 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
             if m := _LOGIN.match(text, after):
                 found["login"].append(m.span())
         elif anchor == "iban":
-            m = _IBAN.search(text, after, after + 60)
-            if m and m.start() >= done["iban"]:
-                # The longest prefix that passes the check is the number; a word may follow it directly.
-                for end in range(m.end(), m.start() + 14, -1):
-                    if iban_holds(text[m.start() : end]):
-                        found["iban"].append((m.start(), end))
-                        done["iban"] = end
-                        break
+            # A number begins within the window and runs on to its own end; the first one that holds counts.
+            for m in _IBAN_START.finditer(text, max(after, done["iban"]), after + IBAN_WINDOW + 3):
+                end = _iban_end(text, m.start())
+                if end:
+                    found["iban"].append((m.start(), end))
+                    done["iban"] = end
+                    break
         elif (m := _SECRET.match(text, after)) and m.start(1) >= done["secret"]:
             found["secret"].append(m.span(1))
             done["secret"] = m.end(1)

@@ -334,6 +334,16 @@ def test_pii_base_kinds():
     assert kinds["iban"] == "DE89 3704 0044 0532 0130 00" and kinds["secret"] == "abcdefgh12345" and kinds["login"] == "me:pw"
 
 
+@pytest.mark.parametrize("lead", ["", " of the account holder named in the contract: ", ": XX99 0000 1111 2222 or rather ", ": AB12C, ", " " * 58, ": DE89 3704 0044 0532 0130 01, "])
+def test_iban_anywhere_behind_its_cue(lead):
+    number = "DE89 3704 0044 0532 0130 00"
+    text = f"IBAN {lead}{number} and GB82 WEST 1234 5698 7654 32"
+    got = [text[a:b] for k, a, b in pii.spans_of(text, pii.automaton()) if k == "iban"]
+    assert got == [number]
+    text = "iban DE89370400440532013000 then iban GB82 WEST 1234 5698 7654 32."
+    assert [text[a:b] for k, a, b in pii.spans_of(text, pii.automaton()) if k == "iban"] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+
+
 @pytest.mark.parametrize(("name", "label"), [("op9_toxicity", "toxic"), ("op7_quality", "quality")])
 def test_classifiers_on_held_out_rows(spark, name, label):
     sf = "/root/testdata/sf0.01"
