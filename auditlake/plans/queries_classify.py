@@ -130,6 +130,41 @@ def lenient_timestamps(spark, sf_dir):
     )
 
 
+def printed_timestamps(spark, sf_dir):
+    """Order dates with a clock by order number, printed in every pairing of date part and clock."""
+    orders = B.table(spark, sf_dir, "orders")
+    n, d = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    at = F.timestamp_seconds(F.unix_timestamp(d) + n % 24 * 3600 + n % 60 * 60 + n % 50)
+    local = F.when(F.dayofmonth(d) > 12, F.date_format(at, "d/M/yyyy")).otherwise(F.date_format(at, "M/d/yyyy"))
+    dates = ("yyyy/M/d", "yyyy-M-d", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "M/d/yy", "d-MMM-yy", "d MMM yy")
+    clocks = ("H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a", "HH:mm:ss")
+    day = variant(n, *[F.date_format(at, f) for f in dates], local)
+    clock = variant(F.floor(n / 13), *[F.concat(F.lit(" "), F.date_format(at, f)) for f in clocks], F.lit(""))
+    return orders.select(n.alias("accession_no"), F.when(n % 29 == 0, "unknown").otherwise(F.concat(day, clock)).alias("printed"))
+
+
+_PRINTED = """
+    WITH t AS (SELECT o_orderkey AS n, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders),
+    p AS (SELECT n, CASE (n // 13) % 6
+                      WHEN 5 THEN d
+                      WHEN 1 THEN d + to_seconds(n % 24 * 3600 + n % 60 * 60)
+                      WHEN 3 THEN d + to_seconds(n % 24 * 3600 + n % 60 * 60)
+                      ELSE d + to_seconds(n % 24 * 3600 + n % 60 * 60 + n % 50) END AS moment,
+                 n % 29 = 0 AS unknown FROM t)"""
+
+
+@query(_PRINTED + " SELECT n AS accession_no, CASE WHEN NOT unknown THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS start FROM p")
+def timestamp_forms(spark, sf_dir):
+    start = F.date_format(P.timestamp(F.col("printed")), "yyyy-MM-dd HH:mm:ss")
+    return printed_timestamps(spark, sf_dir).select("accession_no", start.alias("start"))
+
+
+@query(_PRINTED + " SELECT count(*) AS n_rows, count(*) FILTER (WHERE unknown) AS n_unparsed FROM p")
+def timestamp_unparsed(spark, sf_dir):
+    parsed = printed_timestamps(spark, sf_dir).withColumn("start", P.timestamp(F.col("printed")))
+    return parsed.agg(F.count("*").alias("n_rows"), P.count_unparsed(F.col("printed"), F.col("start")).alias("n_unparsed"))
+
+
 @query("""
     SELECT o_orderkey AS accession_no, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice::DOUBLE
            ELSE (o_custkey % 240 * 60)::DOUBLE END AS seconds FROM orders""")

@@ -64,3 +64,13 @@ def test_struct_list_accepts_printed_records(spark):
 def test_model_reply(spark, reply, value, status):
     row = values(spark, [reply], lambda c: P.model_reply(c, "grade int"))[0]
     assert (row["value"]["grade"] if row["value"] else None, row["status"]) == (value, status)
+
+
+def test_every_date_part_takes_every_clock(spark):
+    texts = {"3 Jan 2024 9:05:10": "09:05:10", "3-Jan-2024 9:05:10": "09:05:10", "Jan 3, 2024 09:05:10": "09:05:10",
+             "3 Jan 2024 9:05 AM": "09:05:00", "1/3/24": "00:00:00", "January 3, 2024 12:05 am": "00:05:00", "3 Jan 24 12:05:01 PM": "12:05:01"}
+    df = spark.createDataFrame([(t,) for t in [*texts, "3 Jan 2024 13:05 PM", "-", "", None]], "t string").withColumn("at", P.timestamp(F.col("t")))
+    got = {r.t: str(r.at) for r in df.where("at is not null").collect()}
+    assert got == {t: f"2024-01-03 {c}" for t, c in texts.items()}
+    assert df.agg(P.count_unparsed(F.col("t"), F.col("at"))).first()[0] == 1
+    assert str(spark.range(1).select(P.timestamp(F.lit("5-Jan-99"))).first()[0]) == "1999-01-05 00:00:00"
