@@ -45,8 +45,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
-    """Write a result once and read it back: cuts lineage and pins its values."""
+def materialize(df, name: str, **options):
+    """Write a result once and read it back: cuts lineage and pins its values. Options go to the Parquet writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
