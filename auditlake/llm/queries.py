@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import chat, decontam, fingerprint, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
+from auditlake.llm import (
+    chat, decontam, fingerprint, hard_negatives, language_mix, line_dedup, packing, pii, quality, simhash, token_alignment, toxicity, url_filter,
+)
 from auditlake.llm.common import table
 from auditlake.plans.registry import query
 
@@ -104,3 +106,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = language_mix.train(docs, F.col("doc_id").isNotNull() & ~held_out)
+    mixed = language_mix.predict(docs.select("doc_id", "text"), model)
+    return mixed.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.col("languages").cast("string").alias("languages"))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        hard_negatives.quantised(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
