@@ -35,4 +35,5 @@ def load() -> None:
         queries_import,
         queries_list,
         queries_metrics,
+        queries_store,
     )

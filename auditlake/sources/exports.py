@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.functions import parsing as P
 from auditlake.operators.intake import ROW_ORDER
+from auditlake.sources import ranges
 
 BOM = "﻿"
 
@@ -27,15 +28,24 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], **options) -> DataF
     return df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df
 
 
-def _ordered(df: DataFrame, seq: int) -> DataFrame:
-    """Keep where a row came from: file position in the upload, file, place in the file."""
+def _rows(spark: SparkSession, path: str, seq: int, split: bool | None) -> DataFrame:
+    """A file's rows with where they came from: file position in the upload, file, place in the file.
+
+    Files that Spark would cut are read by ranges (see ``ranges``), others by one task each; ``split`` asks for one or the other. Both
+    give the same rows in the same order.
+    """
+    whole = read_csv(spark, path)
+    if ranges.would_cut(spark, [path]) if split is None else split:
+        df = ranges.parse_records(ranges.read_records(spark, [path]), whole.columns)
+        place = F.struct(F.lit(seq).alias("file_seq"), *ranges.PLACE)
+        return df.select(*[F.col(f"`{c}`") for c in whole.columns], place.alias(ROW_ORDER))
     place = F.struct(
         F.lit(seq).alias("file_seq"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return df.select("*", place.alias(ROW_ORDER))
+    return whole.select("*", place.alias(ROW_ORDER))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -50,42 +60,42 @@ def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple
     return groups
 
 
-def read_scores(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_scores(spark: SparkSession, paths: str | Sequence[str], split: bool | None = None) -> DataFrame:
     """All score exports, by name, in the order given; columns absent from one file are null."""
-    return _union([_ordered(read_csv(spark, p), i) for i, p in enumerate(_paths(paths))])
+    return _union([_rows(spark, p, i, split) for i, p in enumerate(_paths(paths))])
 
 
-def read_reports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_reports(spark: SparkSession, paths: str | Sequence[str], split: bool | None = None) -> DataFrame:
     """All report exports; an older file's ``PROCEDURE_DATE`` is the end date."""
     parts = []
     for i, p in enumerate(_paths(paths)):
-        df = _ordered(read_csv(spark, p), i)
+        df = _rows(spark, p, i, split)
         if "PROCEDURE_END_DATE" not in df.columns:
             df = df.withColumnRenamed("PROCEDURE_DATE", "PROCEDURE_END_DATE")
         parts.append(df)
     return _union(parts)
 
 
-def read_import(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path)
-    if "ACCESSION_NO" not in df.columns:
+def read_import(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    if "ACCESSION_NO" not in read_csv(spark, path).columns:
         raise ValueError("an import needs the column ACCESSION_NO")
-    return _ordered(df, 0)
+    return _rows(spark, path, 0, split)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
     """A labels file with its line numbers; the header is line 1.
 
-    Lines are counted through all files of the folder, by name, headers apart. A file that may hold line breaks is read
-    by one task from top to bottom, so a line's number is its row id less the file's first one, plus the lines of the files before.
+    Lines are counted through all files of the folder, by name, headers apart. Rows are numbered from top to bottom within a file, or
+    within a range of it, so a line's number is its row less the first one there, plus the lines of the files and ranges before.
     """
-    df = read_csv(spark, path)
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
-    files = placed.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    df = _rows(spark, path, 0, split)
+    placed = df.select("*", F.struct(f"{ROW_ORDER}.file", f"{ROW_ORDER}.block").alias("_part"), F.col(f"{ROW_ORDER}.row").alias("_id"))
+    parts = placed.groupBy("_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or range
     shift = F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 2
-    shifts = files.select("_file", shift.alias("_shift"))
-    return placed.join(shifts, "_file").select(*[placed[f"`{c}`"] for c in df.columns], (F.col("_id") + F.col("_shift")).alias("row_no"))
+    shifts = parts.select("_part", shift.alias("_shift"))
+    columns = [placed[f"`{c}`"] for c in df.columns if c != ROW_ORDER]
+    return placed.join(shifts, "_part").select(*columns, (F.col("_id") + F.col("_shift")).alias("row_no"))
 
 
 def kind_of(headers: Sequence[str]) -> tuple[str, list[str]]:
