@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import append_columns, blocks, by_name, free_name, utf8
+from auditlake.llm.common import append_columns, blocks, by_name, free_name, spans, utf8
 
 ORDERS = (2, 3, 4)
 BITS = 16
@@ -47,31 +47,51 @@ _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[128:] = np.arange(128, 256)
 _CELLS = len(ORDERS) << BITS
+_LETTERS = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64)
+_POWERS = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    logs: np.ndarray  # [cell, language], log-likelihood of an n-gram divided by the number of orders
+    logs: np.ndarray  # [language, cell], log-likelihood of an n-gram divided by the number of orders
 
 
-def words_of(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(blank-separated bytes, start of every word, text of every word); letters are folded, all else is blank."""
+def words_of(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, length, text) of every word; the bytes are folded letters with blanks for all else."""
     low = _FOLD[raw]
     # Capitals of Latin-1 in UTF-8: the byte after 0xC3.
     capital = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
     low[capital] += 0x20
-    data = np.concatenate([np.insert(low, at[:-1], 32), np.full(max(ORDERS) + 8, 32, np.uint8)])
+    data = np.append(np.insert(low, at[:-1], 32), np.uint8(32))  # a blank before every text
     letter = data != 32
-    head = letter & ~np.concatenate([[False], letter[:-1]])
-    start = np.flatnonzero(head)
-    length = np.flatnonzero(letter & ~np.concatenate([letter[1:], [False]])) + 1 - start
+    start = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    length = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1 - start
     if len(length) and length.max() > LONGEST:
         pieces = -(-length // LONGEST)
-        first = np.cumsum(pieces) - pieces
-        start = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(first, pieces)) * LONGEST
-    owner = np.searchsorted(at + np.arange(len(at)), start, side="right") - 1
-    return data, start, owner
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        length = np.minimum(LONGEST, np.repeat(length, pieces) - place * LONGEST)
+        start = np.repeat(start, pieces) + place * LONGEST
+    return data, start, length, np.searchsorted(at + np.arange(len(at)), start, side="right") - 1
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start of every distinct word in them, number of the distinct word of every word); words stand between blanks."""
+    if not len(start):
+        return np.full(16, 32, np.uint8), start, start
+    begin = np.cumsum(length) - length
+    inside = np.arange(int(length.sum())) - np.repeat(begin, length)
+    letters = data[np.repeat(start, length) + inside]
+    code = np.add.reduceat(_LETTERS[letters] * _POWERS[inside], begin)
+    _, first, same = np.unique(code, return_index=True, return_inverse=True)
+    size = length[first]
+    if (size[same] != length).any() or (letters[np.repeat(begin[first][same], length) + inside] != letters).any():
+        first = same = np.arange(len(start))  # two words share a hash: keep all of them
+        size = length
+    own = np.cumsum(size + 1) - size
+    out = np.full(int(own[-1] + size[-1]) + 16, 32, np.uint8)
+    out[spans(own, size)] = letters[spans(begin[first], size)]
+    return out, own, same
 
 
 def cells(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +130,15 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
             for batch in blocks(whole, "text"):
                 langs = np.array(batch.column(0).to_pylist(), object)
                 at, raw = utf8(batch.column(1))
-                data, start, owner = words_of(at, raw)
+                data, start, length, owner = words_of(at, raw)
+                data, start, same = distinct_words(data, start, length)
                 cell, word = cells(data, start)
-                spoken = langs[owner[word]] if len(word) else np.empty(0, object)
                 for lang in sorted(set(langs)):
                     if lang not in tables and len(tables) >= TABLES:
                         yield from flush()
                     counts = tables.setdefault(lang, np.zeros(_CELLS, np.int64))
-                    counts += np.bincount(cell[spoken == lang], minlength=_CELLS)
+                    times = np.bincount(same[(langs == lang)[owner]], minlength=len(start))
+                    counts += np.bincount(cell, times[word], _CELLS).astype(np.int64)
         yield from flush()
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
@@ -137,23 +158,19 @@ def train(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text"
         counts[cell[own] >> BITS, cell[own] & ((1 << BITS) - 1), j] = n[own]
     counts += SMOOTHING
     logs = np.log(counts / counts.sum(axis=1, keepdims=True)) / len(ORDERS)
-    return Model(languages, logs.reshape(_CELLS, len(languages)).astype(np.float32))
+    return Model(languages, np.ascontiguousarray(logs.reshape(_CELLS, len(languages)).T).astype(np.float32))
 
 
-def word_likelihoods(at: np.ndarray, raw: np.ndarray, model: Model, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood [language, word], text of every word); long blocks are walked in pieces, so temporaries stay small."""
-    data, start, owner = words_of(at, raw)
+def word_likelihoods(at: np.ndarray, raw: np.ndarray, model: Model, piece: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood [language, word], text of every word); words are walked in pieces, so temporaries stay small."""
+    data, start, length, owner = words_of(at, raw)
     out = np.empty((len(model.languages), len(start)))
-    ends = np.append(start[1:], len(data))
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + piece)))
-        lo, hi = max(int(start[i]) - 1, 0), int(ends[j - 1])
-        part = np.concatenate([data[lo:hi], np.full(max(ORDERS) + 8, 32, np.uint8)])
-        cell, word = cells(part, start[i:j] - lo)
+    for i in range(0, len(start), piece):
+        here = slice(i, i + piece)
+        some, own, same = distinct_words(data, start[here], length[here])
+        cell, word = cells(some, own)
         for k in range(len(model.languages)):
-            out[k, i:j] = np.bincount(word, model.logs[cell, k], j - i)
-        i = j
+            out[k, here] = np.bincount(word, model.logs[k, cell], len(own))[same]
     return out, owner
 
 
