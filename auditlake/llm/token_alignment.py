@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies overlap in the bytes of the same texts.
 
-Both tokenizers encode a space followed by the text. Per batch ``pandas.merge_asof``, keyed by document, finds for every token's
-first byte the covering token of the other side, in both directions; the union of both gives each overlapping pair of
+Both tokenizers encode a space followed by the text. Per batch ``pandas.merge_asof``, keyed by document and byte, finds for every
+token's first byte the covering token of the other side, in both directions; the union of both gives each overlapping pair of
 token occurrences (a link) once, and equal ends cut the tokens into groups.
 
 A text can be cut before a space that follows another character and precedes a character that isn't white space: neither
@@ -36,7 +36,7 @@ from auditlake.session import materialize
 #: Pairs whose counts travel to every task: 17 bytes each.
 HOT_PAIRS = 1 << 18
 #: Bytes of text that are joined together.
-ALIGN_BLOCK = 1 << 19
+ALIGN_BLOCK = 1 << 20
 #: Pair codes that a task holds before it hands on their counts.
 HELD_CODES = 1 << 21
 #: Distinct parts of texts whose tokens a task remembers.
@@ -116,9 +116,11 @@ class Parts:
         code = np.add.reduceat(self.letters[raw] * powers[inside], starts)
         _, first, same = np.unique(code, return_index=True, return_inverse=True)
         agree = (lengths[first[same]] == lengths).all()
-        if not agree or (raw[np.repeat(starts[first[same]], lengths) + inside] != raw).any():
-            first = same = np.arange(len(starts))  # two parts share a hash: keep all of them
         data = raw.tobytes()
+        if not agree or (raw[np.repeat(starts[first[same]], lengths) + inside] != raw).any():
+            every = [data[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]  # two parts share a hash
+            number = {p: i for i, p in enumerate(dict.fromkeys(every))}
+            return list(number), np.array([number[p] for p in every], np.int64), np.searchsorted(starts, at)
         parts = [data[a : a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
         return parts, same, np.searchsorted(starts, at)
 
@@ -137,11 +139,13 @@ class Lexicon:
         self.sound = np.empty(0, bool)
 
     def look_up(self, parts: list[bytes]) -> np.ndarray:
-        """The number of every part. Numbers hold until the next call."""
+        """The number of every part, parts being distinct. Numbers hold until the next call."""
         if len(self.number) >= HELD_PARTS:
             self.clear()
-        new = [p for p in parts if p not in self.number]
-        if new:
+        found = [self.number.get(p, -1) for p in parts]
+        numbers = np.array(found, np.int64)
+        if new := [p for p, k in zip(parts, found, strict=True) if k < 0]:
+            numbers[numbers < 0] = np.arange(len(self.number), len(self.number) + len(new))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             sound = np.ones(len(new), bool)
             for k, side in enumerate(self.sides):
@@ -151,37 +155,33 @@ class Lexicon:
                 self.many[k] = np.concatenate([self.many[k], many])
                 self.flat[k] = np.concatenate([self.flat[k], flat])
             self.sound = np.concatenate([self.sound, sound])
-        return np.array([self.number[p] for p in parts], np.int64)
+        return numbers
 
 
-def covering(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-    """Tokens of ``own`` with the token of ``other`` that covers their first byte: (place, start, place_o, start_o)."""
-    right = other.rename(columns={"place": "place_o"})
-    right["start_o"] = right["start"]
-    return pd.merge_asof(own, right, on="start", by="doc")
+def covering(own: pd.DataFrame, other: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For every token of ``own`` the token of ``other`` that covers its first byte, and whether both begin there."""
+    met = pd.merge_asof(own, other.assign(place=np.arange(len(other)), begin=other["key"]), on="key")
+    return met["place"].to_numpy(), (met["begin"] == met["key"]).to_numpy()
 
 
 def align(doc_a, size_a, doc_b, size_b, n_docs: int):
     """Links and common ends of two tokenizations of the same bytes, given the text and length of every token.
 
+    Tokens are joined on one key of document and byte: the byte's place in the batch, where each document has a stretch of its own.
     Returns (place in A, place in B) of all links, ordered by text, the number of links per text, and per token whether it ends
     a group, for both sides.
     """
-    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    a = pd.DataFrame({"doc": doc_a, "start": end_a - size_a, "place": np.arange(len(doc_a))})
-    b = pd.DataFrame({"doc": doc_b, "start": end_b - size_b, "place": np.arange(len(doc_b))})
-    one = covering(a, b)
-    two = covering(b, a)
-    two = two[two["start"] != two["start_o"]]  # equal starts are in the first direction already
-    x = np.concatenate([one["place"].to_numpy(), two["place_o"].to_numpy()])
-    y = np.concatenate([one["place_o"].to_numpy(), two["place"].to_numpy()])
-    text = np.concatenate([one["doc"].to_numpy(), two["doc"].to_numpy()])
+    a = pd.DataFrame({"key": np.cumsum(size_a) - size_a})
+    b = pd.DataFrame({"key": np.cumsum(size_b) - size_b})
+    over_a, even_a = covering(a, b)
+    over_b, even_b = covering(b, a)
+    inner = np.flatnonzero(~even_b)  # equal starts are in the first direction already
+    text = np.concatenate([doc_a, doc_b[inner]])
     order = np.argsort(text, kind="stable")
-    shared = np.intersect1d(end_a, end_b, assume_unique=True)
-    cut_a, cut_b = np.zeros(len(end_a), bool), np.zeros(len(end_b), bool)
-    cut_a[np.searchsorted(end_a, shared)] = True
-    cut_b[np.searchsorted(end_b, shared)] = True
-    return x[order], y[order], np.bincount(text, minlength=n_docs), cut_a, cut_b
+    x = np.concatenate([np.arange(len(doc_a)), over_b[inner]])[order]
+    y = np.concatenate([over_a, inner])[order]
+    # A token ends a group if both sides begin a token after it, or nothing follows.
+    return x, y, np.bincount(text, minlength=n_docs), np.append(even_a[1:], True), np.append(even_b[1:], True)
 
 
 def decimal_table(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,26 +280,30 @@ def count_pairs(links: DataFrame, dtype: np.dtype) -> DataFrame:
     """(code, n) of all links: partial counts per task, then their sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = (np.empty(0, np.int64), np.empty(0, np.int64)), []
+        held, raw, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
 
-        def fold(parts):
-            code = np.concatenate([p[0] for p in parts])
-            kinds, back = np.unique(code, return_inverse=True)
-            return kinds, np.bincount(back, np.concatenate([p[1] for p in parts]), len(kinds)).astype(np.int64)
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            """What is held and the raw codes as one sorted list of codes with counts."""
+            kinds, n = np.unique(np.concatenate(raw), return_counts=True)
+            code, n = np.concatenate([held[0], kinds.astype(np.int64)]), np.concatenate([held[1], n])
+            order = np.argsort(code, kind="stable")  # two sorted runs: merged
+            code, n = code[order], n[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            return code[first], np.add.reduceat(n, first)
 
         for batch in batches:
             for cell in batch.column(0):
-                if len(cell.as_buffer()):
-                    kinds, n = np.unique(np.frombuffer(cell.as_buffer(), dtype), return_counts=True)
-                    number.append((kinds.astype(np.int64), n))
-                    if sum(len(p[0]) for p in number) >= HELD_CODES:
-                        held, number = fold([held, *number]), []
-                        if len(held[0]) >= HELD_CODES:
-                            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["code", "n"])
-                            held = (np.empty(0, np.int64), np.empty(0, np.int64))
-        if number or len(held[0]):
-            held = fold([held, *number])
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["code", "n"])
+                codes = np.frombuffer(cell.as_buffer(), dtype)
+                raw.append(codes)
+                size += len(codes)
+                if size >= HELD_CODES:
+                    held, raw, size = fold(), [], 0
+                    if len(held[0]) >= HELD_CODES:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["code", "n"])
+                        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        if size:
+            held = fold()
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["code", "n"])
 
     return links.select("links").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
