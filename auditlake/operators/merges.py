@@ -147,9 +147,11 @@ def first_messages(outcomes: DataFrame, limit: int = 50, row_no: str = "row_no")
     return outcomes.where(F.col("message").isNotNull()).orderBy(row_no).limit(limit).select(row_no, "message")
 
 
-def apply_labels(store: DataFrame, labels: DataFrame, field: str = "gt_manual") -> DataFrame:
+def apply_labels(store: DataFrame, labels: DataFrame, field: str = "gt_manual", order: str | None = None) -> DataFrame:
+    """Set a label column by key. Of several labels of a key the last by ``order`` counts; without an order the largest."""
     # One label per key, whatever the caller folded: a repeated key must not repeat the study.
-    one = labels.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.max("label").alias("_label"))
+    last = F.max_by("label", order) if order else F.max("label")
+    one = labels.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(last.alias("_label"))
     joined = store.join(one, KEY, "left")
     kind = dict(store.dtypes)[field]
     return joined.withColumn(field, F.coalesce(F.col("_label").cast(kind), F.col(field))).select(*store.columns)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions import parsing as P
-from auditlake.operators import intake
 from auditlake.operators import merges as M
 from auditlake.plans import bindings as B
-from auditlake.plans.queries_classify import variant, variant_sql
+from auditlake.plans.queries_change import _FIRST, _OLDER, _edits, _incoming, _older
+from auditlake.plans.queries_classify import LINE_ORDER, variant
 from auditlake.plans.registry import query
 from auditlake.session import scratch_path, settings
 from auditlake.sources import exports, sinks
+from auditlake.sources.study_table import StudyTable
 
 #: Small enough to cut the test files into many ranges.
 SMALL_RANGES = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "16k"}
@@ -34,3 +35,65 @@ def read_large_report_file(spark, sf_dir):
         P.accession(F.col("ACCESSION_NO")).alias("ACCESSION_NO"), F.md5("TEXT_REPORT").alias("digest"), F.col("WORKPLACE").alias("place"),
         (F.col("row_no") - 1).alias("place_in_file"),
     )
+
+
+def _table(spark, name):
+    return StudyTable(spark, scratch_path(spark, name), buckets=4)
+
+
+@query(B.oracle(_OLDER + " SELECT DISTINCT l_orderkey AS accession_no FROM lineitem WHERE l_orderkey IN (SELECT accession_no FROM older)"))
+def existing_keys_indexed(spark, sf_dir):
+    """Known keys of a batch, found through the key index of the stored files."""
+    table = _table(spark, "indexed")
+    table.insert(_older(spark, sf_dir), ["accession_no"], "first")
+    return table.rows_of(_incoming(spark, sf_dir)).select("accession_no")
+
+
+def _changed(spark, sf_dir, name):
+    """Rows inserted, edited, deleted, and some of the deleted inserted again: one write each, nothing rewritten."""
+    table = _table(spark, name)
+    table.insert(_older(spark, sf_dir), ["accession_no"], "first")
+    table.edit(_edits(spark, sf_dir))
+    gone = B.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    table.delete(gone.select(F.col("l_orderkey").alias("accession_no")))
+    again = _incoming(spark, sf_dir).where(F.col("accession_no") % 3 == 0).withColumn("workplace", F.lit("KALCR01"))
+    table.insert(again, LINE_ORDER, "again")
+    table.set_labels(again.select("accession_no", F.lit(1).alias("label"), F.lit(1).alias("row_no")))
+    return table
+
+
+_CHANGED = B.oracle(_OLDER + _FIRST + """
+    , e AS (SELECT l_orderkey AS k, l_linenumber % 4 AS f, CASE WHEN l_quantity > 40 THEN NULL
+              WHEN l_linenumber % 4 = 1 THEN CAST(l_partkey % 2 AS VARCHAR) ELSE 'SEMCR01' END AS v
+            FROM lineitem WHERE l_linenumber % 4 < 2
+            QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 4
+              ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
+    , kept AS (
+        SELECT o.accession_no, CASE WHEN w.k IS NOT NULL THEN w.v ELSE o.workplace END AS workplace,
+               CASE WHEN g.k IS NOT NULL THEN CAST(g.v AS INT) ELSE o.gt_manual END AS gt_manual, 'first' AS batch
+        FROM older o LEFT JOIN (SELECT * FROM e WHERE f = 0) w ON w.k = o.accession_no
+                     LEFT JOIN (SELECT * FROM e WHERE f = 1) g ON g.k = o.accession_no
+        WHERE o.accession_no NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
+    , after AS (
+        SELECT * FROM kept UNION ALL
+        SELECT l_orderkey, 'KALCR01', NULL, 'again' FROM first WHERE l_orderkey % 3 = 0 AND l_orderkey NOT IN (SELECT accession_no FROM kept))
+    SELECT accession_no, workplace, (CASE WHEN accession_no % 3 = 0 AND accession_no IN (SELECT l_orderkey FROM first) THEN 1 ELSE gt_manual END)::INT AS gt_manual,
+           batch FROM after""")
+
+
+def _read_back(rows):
+    return rows.select("accession_no", "workplace", F.col("gt_manual").cast("int"), F.col("processing_batch_id").alias("batch"))
+
+
+@query(_CHANGED)
+def study_table_patches(spark, sf_dir):
+    """The table as readers see it while its changes are still files of their own."""
+    return _read_back(_changed(spark, sf_dir, "patched").read())
+
+
+@query(_CHANGED)
+def study_table_compacted(spark, sf_dir):
+    """The same table after compaction: one folder of rows a month and no changes."""
+    table = _changed(spark, sf_dir, "compacted")
+    table.compact()
+    return _read_back(table.read())
