@@ -95,7 +95,7 @@ def distinct_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> t
 
 
 def cells(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, word) of every n-gram that touches a letter: from the blank before a word to the blank after it."""
+    """(cell, word) of every n-gram, from the blank before a word to the blank after it; two-byte ones end within the word."""
     word_no = np.cumsum(np.bincount(start, minlength=len(data))) - 1
     word = np.ndarray((len(data) - 8,), "<u8", np.ascontiguousarray(data).data, 0, (1,))
     cell, owner = [], []
