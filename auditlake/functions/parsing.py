@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions import dates
 from auditlake.functions.binding import bind
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TRUE_WORDS = ("true", "1", "1.0")
 FALSE_WORDS = ("false", "0", "0.0")
-TIMESTAMP_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy",
-    "dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy",
-    # Single digits, times without seconds and 12-hour clocks; month first, and day first where that cannot be a month.
-    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
-    "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a",
-    "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy", "yyyyMMdd HH:mm:ss", "yyyyMMdd", "d MMM yyyy H:mm", "d MMM yyyy",
-    "d-MMM-yyyy H:mm", "d-MMM-yyyy", "MMM d, yyyy H:mm", "MMM d, yyyy",
-)
-#: Date parts that any clock may follow; month first, and day first where that cannot be a month.
-DATE_FORMS = (
-    "yyyy/M/d", "yyyy-M-d", "yyyy.M.d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy",
-    "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy-MMM-d",
-)
-SHORT_DATE_FORMS = ("M/d/yy", "d/M/yy", "d-MMM-yy", "d MMM yy", "MMM d, yy", "M-d-yy", "d.M.yy")
-CLOCK = r"^(.*?)(?:(?:\s*,\s*|\s+|T)(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*([AaPp][Mm])?)?$"
 
 
 def dash_to_null(c: Column) -> Column:
@@ -50,28 +33,14 @@ def accession(c: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), number(c).try_cast("bigint"))
 
 
-def timestamp(c: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First format that fits, else null; ISO forms come first, and after the default list every date part with every clock."""
+def timestamp(c: Column, day_first: Column | bool = False) -> Column:
+    """Text to timestamp: ISO forms (with zones), then dates of any common shape with any clock, else null.
+
+    ``day_first`` says how to read ``05/01/2024``; cells that allow one order only are read in that one.
+    """
     text = F.trim(c.cast("string"))
     iso = F.when(text.rlike(r"^\d{4}(-|$)"), text.try_cast("timestamp"))
-    rest = [_date_and_clock(text)] if formats is TIMESTAMP_FORMATS else []
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats], *rest)
-
-
-def _date_and_clock(text: Column) -> Column:
-    """Date part and clock read apart: single digits, seconds, 12-hour clocks; two-digit years are 1969 to 2068."""
-
-    def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, CLOCK, i), F.lit(""))
-
-    day = F.regexp_extract(text, CLOCK, 1)
-    short = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in SHORT_DATE_FORMS]).cast("date")
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    date = F.coalesce(F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMS]).cast("date"), short)
-    hour, half = F.coalesce(group(2), F.lit("0")).try_cast("int"), F.lower(group(5))
-    hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    clock = F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.coalesce(group(3), F.lit("00")), F.lit(":"), F.coalesce(group(4), F.lit("00")))
-    return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(" "), clock).try_cast("timestamp")
+    return F.coalesce(iso, dates.moment(text, day_first))
 
 
 def count_unparsed(c: Column, parsed: Column) -> Column:

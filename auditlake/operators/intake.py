@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import schema as S
+from auditlake.functions import dates
 from auditlake.functions import parsing as P
 
 ROW_ORDER = "_row_order"
@@ -19,10 +20,28 @@ def blank_dashes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return df.withColumns({n: P.dash_to_null(F.col(f"`{n}`")) for n in names})
 
 
-def _typed(name: str, kind: str) -> Column:
+def _upload() -> Column:
+    return F.col(f"{ROW_ORDER}.file_seq")
+
+
+def date_votes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per upload and date column: how many cells say which of day and month comes first, and how many no form fits (see ``dates.votes``)."""
+    has_place = ROW_ORDER in df.columns and "file_seq" in getattr(df.schema[ROW_ORDER].dataType, "names", [])
+    return dates.votes(df, [c for c in columns if c in df.columns], _upload() if has_place else F.lit(0), P.timestamp)
+
+
+def day_first_columns(votes: DataFrame) -> dict[str, Column]:
+    """Condition per column: the row's upload has its days first."""
+    found: dict[str, list[int]] = {}
+    for r in votes.where(F.col("first") == dates.DAY_FIRST).select("column", "upload").collect():  # one row per upload and column
+        found.setdefault(r["column"], []).append(r["upload"])
+    return {c: _upload().isin(uploads) for c, uploads in found.items()}
+
+
+def _typed(name: str, kind: str, day_first: Column | bool = False) -> Column:
     c = F.col(f"`{name}`")
     if kind == "timestamp":
-        return P.timestamp(c)
+        return P.timestamp(c, day_first)
     if name in ("ACCESSION_NO", "Accession Number"):
         return P.accession(c)
     if kind in ("float", "double"):
@@ -30,10 +49,11 @@ def _typed(name: str, kind: str) -> Column:
     return P.number(c).try_cast(kind)
 
 
-def apply_types(df: DataFrame, types: Mapping[str, str] = S.EXPORT_TYPES) -> DataFrame:
-    """Cast the known columns that are present, leniently and in one projection."""
+def apply_types(df: DataFrame, types: Mapping[str, str] = S.EXPORT_TYPES, day_first: Mapping[str, Column | bool] | None = None) -> DataFrame:
+    """Cast the known columns that are present, leniently and in one projection. ``day_first`` by column; else months come first."""
+    first = day_first or {}
     return df.select(
-        *[_typed(n, types[n]).alias(n) if n in types else F.col(f"`{n}`") for n in df.columns]
+        *[_typed(n, types[n], first.get(n, False)).alias(n) if n in types else F.col(f"`{n}`") for n in df.columns]
     )
 
 
@@ -59,14 +79,16 @@ def canonical_score_key(df: DataFrame) -> DataFrame:
     return df.withColumn("_key", key).drop(*present).withColumnRenamed("_key", "ACCESSION_NO")
 
 
-def merge_exports(reports: DataFrame, scores: DataFrame) -> DataFrame:
+def merge_exports(
+    reports: DataFrame, scores: DataFrame, report_days: Mapping[str, Column] | None = None, score_days: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Typed reports joined to scores on the accession number, one row per accession.
 
     Both sides are cut to their first row per key before the join. That equals joining first
-    and keeping the first pair, but a repeated key can no longer multiply rows.
+    and keeping the first pair, but a repeated key can no longer multiply rows. Date columns with days first are named per side.
     """
-    left = first_per_key(apply_types(blank_dashes(reports)), "ACCESSION_NO", [ROW_ORDER]).drop(ROW_ORDER)
-    typed = apply_types(blank_dashes(canonical_score_key(scores)))
+    left = first_per_key(apply_types(blank_dashes(reports), day_first=report_days), "ACCESSION_NO", [ROW_ORDER]).drop(ROW_ORDER)
+    typed = apply_types(blank_dashes(canonical_score_key(scores)), day_first=score_days)
     right = first_per_key(typed, "ACCESSION_NO", [ROW_ORDER]).drop(ROW_ORDER)
     clash = [c for c in right.columns if c in left.columns and c != "ACCESSION_NO"]
     merged = left.join(right.drop(*clash), "ACCESSION_NO", "inner").drop(*S.MERGE_DROPPED)
@@ -103,10 +125,11 @@ def _field_value(header: str, field: str) -> Column:
     return c.cast(kind)
 
 
-def map_headers(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def map_headers(df: DataFrame, keep: Sequence[str] = (), day_first: Mapping[str, Column] | None = None) -> DataFrame:
     """An imported file's columns as study fields. Unknown headers are left out.
 
-    Where two headers feed the same field the later one in the header table wins, even if null.
+    Where two headers feed the same field the later one in the header table wins, even if null. ``day_first`` by header; else
+    months come first.
     """
     fields: dict[str, Column] = {}
     for header, field in S.PLAIN_HEADERS.items():
@@ -114,7 +137,7 @@ def map_headers(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             fields[field] = P.accession(F.col(header)) if field == "accession_no" else _field_value(header, field)
     for header, field in S.TIMESTAMP_HEADERS.items():
         if header in df.columns:
-            fields[field] = P.timestamp(F.col(f"`{header}`"))
+            fields[field] = P.timestamp(F.col(f"`{header}`"), (day_first or {}).get(header, False))
     for header, field in S.DURATION_HEADERS.items():
         if header in df.columns:
             fields[field] = P.duration_seconds(F.col(f"`{header}`"))

@@ -19,13 +19,16 @@ def import_file(table: StudyTable, path: str, batch_id: str, mode: str = "skip")
     """Import a file and return ``(outcome, lines)``.
 
     Of several lines of a key the first counts. Mode ``skip`` adds unknown keys only, ``update`` also
-    overwrites known studies with the values that are not null. The mapped lines are written
-    once, and the outcomes are counted before the table changes.
+    overwrites known studies with the values that are not null. The lines are written
+    once, and the outcomes are counted before the table changes. Each date column is read days first or months first
+    as most of its cells say; cells that no form fits are counted as ``unparsed <header>``.
     """
-    rows = intake.map_headers(exports.read_import(table.spark, path), keep=[intake.ROW_ORDER])
-    rows = materialize(rows, "import")
-    outcomes = M.import_outcomes(table.read(), rows, [intake.ROW_ORDER], mode)
-    counts = materialize(M.import_counts(outcomes), "import-counts")
+    lines = materialize(exports.read_import(table.spark, path), "import-lines")
+    votes = materialize(intake.date_votes(lines, list(S.TIMESTAMP_HEADERS)), "import-dates")
+    rows = materialize(intake.map_headers(lines, [intake.ROW_ORDER], intake.day_first_columns(votes)), "import")
+    outcomes = M.import_outcomes(table.rows_of(rows), rows, [intake.ROW_ORDER], mode)
+    unparsed = votes.where(F.col("unparsed") > 0).select(F.concat(F.lit("unparsed "), "column").alias("outcome"), F.col("unparsed").alias("lines"))
+    counts = materialize(M.import_counts(outcomes).unionByName(unparsed), "import-counts")
     if mode == "update":
         table.upsert(rows.withColumn("processing_batch_id", F.lit(batch_id)), [intake.ROW_ORDER])
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions import parsing as P
-from auditlake.operators import merges as M
+from auditlake.operators import intake
 from auditlake.plans import bindings as B
 from auditlake.plans.queries_change import _FIRST, _OLDER, _edits, _incoming, _older
 from auditlake.plans.queries_classify import LINE_ORDER, variant
@@ -97,3 +97,40 @@ def study_table_compacted(spark, sf_dir):
     table = _changed(spark, sf_dir, "compacted")
     table.compact()
     return _read_back(table.read())
+
+
+_DAYS = """
+    WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 600 AS INT)) AS t, o_orderkey % 2 AS file,
+                      CASE WHEN o_orderkey % 11 = 0 THEN 'lost' WHEN o_orderkey % 13 = 0 THEN 'dash' ELSE 'date' END AS cell FROM orders)"""
+
+
+def _dated_reports(spark, sf_dir):
+    """Two report files with the same columns, one with days first and one with months first; some cells are no dates."""
+    n = F.col("o_orderkey")
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + n % 600 * 60)
+    orders = B.table(spark, sf_dir, "orders").select(n.alias("ACCESSION_NO"), at.alias("at"))
+    paths = []
+    for file, form in ((0, "d/M/yyyy H:mm"), (1, "MM/dd/yyyy hh:mm a")):
+        cell = F.when(F.col("ACCESSION_NO") % 11 == 0, "soon").when(F.col("ACCESSION_NO") % 13 == 0, "-").otherwise(F.date_format("at", form))
+        sheet = orders.where(F.col("ACCESSION_NO") % 2 == file).select("ACCESSION_NO", F.lit("text").alias("TEXT_REPORT"), cell.alias("PROCEDURE_START_DATE"))
+        paths.append(sinks.write_csv(sheet, scratch_path(spark, f"dated-{file}")))
+    return exports.read_reports(spark, paths)
+
+
+@query(_DAYS + " SELECT k AS accession_no, CASE WHEN cell = 'date' THEN strftime(t, '%Y-%m-%d %H:%M') END AS start FROM o")
+def dates_by_column(spark, sf_dir):
+    """Ambiguous dates read in the order that their file's column votes for."""
+    reports = _dated_reports(spark, sf_dir)
+    first = intake.day_first_columns(intake.date_votes(reports, ["PROCEDURE_START_DATE"]))
+    typed = intake.apply_types(intake.blank_dashes(reports), day_first=first)
+    return typed.select(F.col("ACCESSION_NO").alias("accession_no"), F.date_format("PROCEDURE_START_DATE", "yyyy-MM-dd HH:mm").alias("start"))
+
+
+@query(_DAYS + """
+    SELECT file::INT AS upload, 'PROCEDURE_START_DATE' AS "column", count(*) FILTER (WHERE cell <> 'dash') AS given,
+           count(*) FILTER (WHERE cell = 'date' AND file = 0 AND day(t) > 12) AS "day", count(*) FILTER (WHERE cell = 'date' AND file = 1 AND day(t) > 12) AS "month",
+           count(*) FILTER (WHERE cell = 'date' AND day(t) <= 12) AS either, count(*) FILTER (WHERE cell = 'lost') AS unparsed,
+           CASE file WHEN 0 THEN 'day' ELSE 'month' END AS first FROM o GROUP BY file""")
+def date_votes(spark, sf_dir):
+    """What the cells of each file's date column say about the order of day and month, and how many no form fits."""
+    return intake.date_votes(_dated_reports(spark, sf_dir), ["PROCEDURE_START_DATE", "PROCEDURE_END_DATE"])

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.functions import rules
 from auditlake.operators import grading, intake
+from auditlake.session import materialize
 
 DEFAULT_STEPS = ("llm",)
+DATES = tuple(c for c, kind in S.EXPORT_TYPES.items() if kind == "timestamp")
 
 
 def analyse(
@@ -23,8 +25,14 @@ def analyse(
     thresholds: rules.Thresholds = S.THRESHOLDS,
     **options,
 ) -> DataFrame:
-    """Merge exports, predict, grade, label and time them; columns keep their export names."""
-    merged = intake.merge_exports(reports, scores)
+    """Merge exports, predict, grade, label and time them; columns keep their export names.
+
+    Both exports are written once as they were read, and so is what the graders and the last join share. Date columns are read
+    days first or months first as most cells of their upload say (``date_votes`` tells).
+    """
+    reports, scores = materialize(reports, "upload-reports"), materialize(scores, "upload-scores")
+    days = [intake.day_first_columns(intake.date_votes(df, DATES)) for df in (reports, scores)]
+    merged = intake.merge_exports(reports, scores, *days)
     site = rules.site_of(F.col("WORKPLACE"))
     present = {field: F.col(f"`{name}`") for name, field in S.FINDINGS.items() if name in merged.columns}
     priority, end, flag = (F.col(c) for c in ("AI_PRIORITY", "PROCEDURE_END_DATE", "AI_FLAG_RECEIVED_DATE"))
@@ -35,6 +43,7 @@ def analyse(
             "Time_End_to_End": rules.end_to_end_seconds(priority, end, flag),
         }
     )
+    timed = materialize(timed, "upload-timed")
     steps = DEFAULT_STEPS + (("findings",) if detailed_findings else ())
     graded = grading.grade_pipeline(
         timed.select("ACCESSION_NO", "TEXT_REPORT"), steps, graders, "TEXT_REPORT", key="ACCESSION_NO", **options
@@ -44,6 +53,12 @@ def analyse(
     return intake.arrange_result(labelled)
 
 
+def date_votes(reports: DataFrame, scores: DataFrame) -> DataFrame:
+    """Per export, upload and date column: the votes on day and month, the order read, and the cells left unparsed."""
+    parts = [intake.date_votes(df, DATES).withColumn("kind", F.lit(kind)) for kind, df in (("reports", reports), ("scores", scores))]
+    return parts[0].unionByName(parts[1])
+
+
 def to_studies(result: DataFrame) -> DataFrame:
     """A pipeline result as study-table rows: same header table as an import."""
     return intake.map_headers(result)
