@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from auditlake import schema as S
 from auditlake.functions.text import contains_any
-from auditlake.operators import ordering as O
+from auditlake.operators.selection import Key, rows_from
 
 NULL, NOT_NULL = "__null__", "__notnull__"
 DATE_FIELDS = ("procedure_start_date", "created_at")
 DEFAULT_SORT = "-created_at"
-# Offsets up to here are served by a bounded top-n; deeper pages seek to their first row.
-TOP_N_LIMIT = 10_000
 
 
 def search(query: str, fields: Sequence[str] = S.SEARCH_FIELDS) -> Column:
@@ -122,84 +120,16 @@ def page(
 ) -> DataFrame:
     """One page of a sorted view; page size is clamped to 10..500, page number to the last page.
 
-    Early pages are a bounded top-n. A deep page would make that top-n as large as its offset,
-    so there the sort value and key at the page's first rank are located by exact order
-    statistics, and the top-n starts from them.
+    The page's first row is located by splitters (``selection``) and the page is a bounded top-n from there.
     """
     per_page = min(max(per_page, 10), 500)
     total = df.count()
     pages = max(1, -(-total // per_page))
     offset = (min(max(number, 1), pages) - 1) * per_page
-    order = sort_columns(sort, key=key)
-    if offset + per_page <= TOP_N_LIMIT:
-        return df.orderBy(*order).offset(offset).limit(per_page)
     field = (sort or DEFAULT_SORT).lstrip("-")
-    field = field if field in S.LISTED_FIELDS else DEFAULT_SORT.lstrip("-")
-    descending = (sort or DEFAULT_SORT).startswith("-") or field != (sort or "").lstrip("-")
-    return _seek_page(df, field, descending, key, offset).orderBy(*order).limit(per_page)
-
-
-def _sort_number(df: DataFrame, field: str, descending: bool) -> Column:
-    """A number that orders rows like the sort column; nulls take the end they sort to."""
-    kind = dict(df.dtypes)[field]
-    c = F.col(field)
-    if kind.startswith("timestamp"):
-        c = F.unix_micros(c.cast("timestamp"))
-    c = -c if descending else c
-    return c
-
-
-def _seek_page(df: DataFrame, field: str, descending: bool, key: str, offset: int) -> DataFrame:
-    """Rows from the page's first one onwards, cut to a narrow superset of the page.
-
-    Nulls sort below all values and NaN above them; each kind is a tier of its own, whose rows the key orders.
-    """
-    kind = dict(df.dtypes)[field]
-    if kind == "string":
-        return _seek_text_page(df, field, descending, key, offset)
-    nan = F.isnan(F.col(field)) if kind in ("float", "double") else F.lit(False)
-    tier = F.when(F.col(field).isNull(), 0).when(nan, 2).otherwise(1)
-    tier = F.lit(2) - tier if descending else tier
-    counts = {r["tier"]: r["n"] for r in df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n")).collect()}
-    wanted = 0
-    while wanted < 2 and offset >= counts.get(wanted, 0):
-        offset -= counts.get(wanted, 0)
-        wanted += 1
-    same = df.where(tier == wanted)
-    if wanted != 1:
-        inside = F.col(key) >= _nth(same, F.col(key), offset)["value"]
-    else:
-        number = _sort_number(df, field, descending)
-        at = _nth(same, number, offset)
-        first = _nth(same.where(number == at["value"]), F.col(key), offset - at["below"])
-        inside = (number > at["value"]) | ((number == at["value"]) & (F.col(key) >= first["value"]))
-    return df.where((tier > wanted) | ((tier == wanted) & inside))
-
-
-def _seek_text_page(df: DataFrame, field: str, descending: bool, key: str, offset: int) -> DataFrame:
-    """Text sort columns are categories (workplace codes): count them, then seek by key inside one."""
-    counts = df.groupBy(field).agg(F.count("*").alias("n")).collect()
-    order = sorted((r for r in counts if r[field] is not None), key=lambda r: r[field], reverse=descending)
-    missing = [r for r in counts if r[field] is None]
-    order = order + missing if descending else missing + order
-    for i, row in enumerate(order):
-        if offset < row["n"]:
-            same = F.col(field).eqNullSafe(F.lit(row[field]))
-            at = _nth(df.where(same), F.col(key), offset)
-            later = [r[field] for r in order[i + 1:]]
-            rest = F.col(field).isin([v for v in later if v is not None])
-            if None in later:
-                rest = rest | F.col(field).isNull()
-            return df.where((same & (F.col(key) >= at["value"])) | F.coalesce(rest, F.lit(False)))
-        offset -= row["n"]
-    return df.limit(0)
-
-
-def _nth(df: DataFrame, value: Column, offset: int):
-    """Value at a 0-based offset: a single row comes back to the driver."""
-    rows = df.select(F.lit(1).alias("all"), value.alias("v"))
-    picked = O.pick_ranks(rows, ["all"], "v", lambda total: F.array(F.lit(offset + 1).cast("bigint")), few_groups=True)
-    return picked.select(F.explode("picks").alias("rank", "pick")).select("pick.*").first()
+    known = field in S.LISTED_FIELDS
+    keys = [Key(field, sort.startswith("-") if sort else True)] if known else [Key(DEFAULT_SORT.lstrip("-"), True)]
+    return rows_from(df, [*keys, Key(key)], offset, per_page, total)
 
 
 def filter_options(df: DataFrame, fields: Sequence[str] = S.FILTER_FIELDS) -> DataFrame:

@@ -1,8 +1,10 @@
 """Whole imports, label files in several parts, and pages over columns with nulls and NaN."""
 
+from functools import partial
+
 import pytest
 
-from auditlake.operators import filters
+from auditlake.operators import filters, selection
 from auditlake.plans import imports
 from auditlake.session import scratch_path
 from auditlake.sources import exports
@@ -33,7 +35,7 @@ def test_label_lines_count_through_all_parts(spark):
 
 @pytest.mark.parametrize("sort", ["nodule", "-nodule"])
 def test_deep_pages_order_nulls_and_nan(spark, monkeypatch, sort):
-    monkeypatch.setattr(filters, "TOP_N_LIMIT", 0)
+    monkeypatch.setattr(filters, "rows_from", partial(selection.rows_from, top_rows=5, sample=64, splitters=5))
     value = "case when id % 7 = 0 then null when id % 5 = 0 then double('NaN') else double(id % 11) end"
     df = spark.range(200).selectExpr("id as accession_no", f"{value} as nodule")
     whole = [r.accession_no for r in df.orderBy(*filters.sort_columns(sort)).collect()]

@@ -1,10 +1,11 @@
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import filters as P
-from auditlake.operators import sampling
+from auditlake.operators import sampling, selection
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def rows(spark):
 @pytest.mark.parametrize("sort", ["nodule", "-nodule", "workplace", "-workplace", "procedure_start_date", "nonsense"])
 @pytest.mark.parametrize("number", [1, 4, 7, 300, 9999])
 def test_deep_pages_equal_sorted_slices(rows, monkeypatch, sort, number):
-    monkeypatch.setattr(P, "TOP_N_LIMIT", 0)
+    monkeypatch.setattr(P, "rows_from", partial(selection.rows_from, top_rows=5, sample=64, splitters=5))
     got = [r["accession_no"] for r in P.page(rows, number, 10, sort).collect()]
     ordered = [r["accession_no"] for r in rows.orderBy(*P.sort_columns(sort)).select("accession_no").collect()]
     offset = min(number - 1, 299) * 10
@@ -93,3 +94,26 @@ def test_sample_is_exact_distinct_and_stable(rows):
 def test_recommended_size_is_at_least_one(rows):
     r = sampling.sampling_pool(rows.limit(0)).first()
     assert (r["total"], r["recommended_count"]) == (0, 1)
+
+
+def test_selection_on_timestamps_and_common_prefixes(spark):
+    """Every rank lands near its row, so the last step sorts few rows; microseconds and long common prefixes included."""
+    df = spark.range(5000).selectExpr(
+        "id as accession_no", "timestamp_micros(1700000000000000 + (id * 7919) % 3000) as at", "concat(repeat('prefix-', 9), lpad(cast((id * 31) % 977 as string), 4, '0')) as name")
+    for keys in ([selection.Key("at", True), selection.Key("accession_no")], [selection.Key("name"), selection.Key("accession_no", True)]):
+        order = selection.Order(df, keys)
+        whole = [tuple(r) for r in df.orderBy(*order.columns()).select(*order.values()).collect()]
+        for rank in (0, 1, 5, 6, 2499, 4994, 4999):
+            place = selection.locate(df, keys, rank, 5000, top_rows=5, sample=100, splitters=8)
+            assert place.skip <= 5
+            got = df.where(place.rest(order)).orderBy(*order.columns()).offset(place.skip).limit(1).select(*order.values()).first()
+            assert tuple(got) == whole[rank]
+
+
+def test_selection_among_equal_rows(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "cast(null as string) as t")
+    keys = [selection.Key("t"), selection.Key("k")]
+    got = [r["k"] for r in selection.rows_from(df, keys, 600, 3, 1000, top_rows=5, sample=20, splitters=3).collect()]
+    assert got == [1, 1, 1]
+    assert selection.rows_from(df.limit(0), keys, 0, 3, 0).count() == 0
+    assert selection.rows_from(df, keys, 5000, 3, 1000, top_rows=5).count() == 0
