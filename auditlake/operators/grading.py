@@ -124,6 +124,7 @@ def judge(
     prefix: str,
     key: str = KEY,
     when: Column | None = None,
+    ask: Callable[..., DataFrame] = apply_grader,
     **options,
 ) -> DataFrame:
     """Adjudicate two grade columns: adds ``{prefix}_grade``, ``_choice`` and ``_explanation``.
@@ -140,7 +141,7 @@ def judge(
             key, *[F.lit(None).cast(t).alias(f"_{n}") for n, t in zip(names, ("int", "int", "string"))]
         )
     else:
-        asked = apply_grader(
+        asked = ask(
             texts.select(key, report).join(open_rows, key), [report, first, second], factory,
             "grade int, choice int, explanation string", key, **options,
         )
@@ -159,6 +160,8 @@ def grade_pipeline(
     report: str = "text_report",
     manual: str | None = None,
     key: str = KEY,
+    ledger=None,
+    versions: Mapping[str, str] | None = None,
     **options,
 ) -> DataFrame:
     """Run the chosen grading steps in their fixed order over cleaned reports.
@@ -175,6 +178,9 @@ def grade_pipeline(
     Steps pass keys and grades on, never the reports: those narrow tables are joined with one
     another and meet the wide rows in a single last join.
 
+    With a ``ledger`` (``AnswerLedger``) graders are asked only what they have not answered before; ``versions`` names the grader's version
+    by step. Else every run asks anew.
+
     Every row gets the grades of its own report. Inside, rows go by a digest of key, cleaned report
     and given grades, so keys may repeat or be null; rows equal in all of them are graded once.
     """
@@ -184,6 +190,13 @@ def grade_pipeline(
     missing = [s for s in steps if s not in graders and s not in ("semialgo", "judge")]
     if missing:
         raise ValueError(f"no grader for steps: {missing}")
+
+    def asker(step: str) -> Callable[..., DataFrame]:
+        def ask(rows: DataFrame, inputs, factory, outputs: str, key: str = KEY, **options) -> DataFrame:
+            return ledger.ask(rows, inputs, step, (versions or {}).get(step, "1"), factory, outputs, key)[0]
+
+        return ask if ledger is not None else apply_grader
+
     given = [c for c in ("priority_algo", "llm_grade", manual) if c and c in df.columns]
     row = "_row"
     while row in df.columns:
@@ -198,7 +211,7 @@ def grade_pipeline(
     if "semialgo" in steps:
         if "semialgo" in graders:
             replies = materialize(
-                apply_grader(texts, [report], graders["semialgo"], "reply string", key, **options), "semialgo"
+                asker("semialgo")(texts, [report], graders["semialgo"], "reply string", key, **options), "semialgo"
             )
             extracted = replies.select(
                 key, model_reply(F.col("reply"), S.EXTRACTION_SCHEMA)["value"].alias("extraction")
@@ -211,7 +224,7 @@ def grade_pipeline(
     if "hybrid" in steps:
         if "priority_algo" not in grades.columns:
             raise ValueError("step hybrid needs step semialgo or a column priority_algo")
-        asked = apply_grader(
+        asked = asker("hybrid")(
             texts.join(grades.select(key, "priority_algo"), key, "left"), [report, "priority_algo"],
             graders["hybrid"], "grade int, explanation string", key, **options,
         )
@@ -220,7 +233,7 @@ def grade_pipeline(
         )
         grades = with_grades(grades, hybrid, key)
     if "llm" in steps:
-        asked = apply_grader(texts, [report], graders["llm"], "grade int", key, **options)
+        asked = asker("llm")(texts, [report], graders["llm"], "grade int", key, **options)
         direct = materialize(asked, "grade").select(
             key, F.col("grade").alias("llm_grade"),
             F.when(F.col("grade").isNull(), "failed").otherwise("ok").alias("grade_status"),
@@ -232,15 +245,15 @@ def grade_pipeline(
         if absent:
             raise ValueError(f"step judge needs columns {absent}")
         chosen = graders.get("judge")
-        grades = judge(grades, texts, chosen, report, "priority_algo", "llm_grade", "judge", key, **options)
+        grades = judge(grades, texts, chosen, report, "priority_algo", "llm_grade", "judge", key, ask=asker("judge"), **options)
         if manual:
             grades = judge(
                 grades, texts, chosen, report, manual, "judge_grade", "judge_ext", key,
-                when=F.col(manual).isNotNull(), **options,
+                when=F.col(manual).isNotNull(), ask=asker("judge"), **options,
             )
     if "findings" in steps:
         names = S.LLM_FINDING_FIELDS
-        asked = apply_grader(
+        asked = asker("findings")(
             texts, [report], graders["findings"], ", ".join(f"{n} boolean" for n in names), key, **options
         )
         found = materialize(asked, "findings").select(key, *[F.col(n).cast("int").alias(n) for n in names])

@@ -11,7 +11,9 @@ from auditlake.functions.binding import literals
 from auditlake.operators import grading, scoring
 from auditlake.operators.sizing import spread
 from auditlake.plans import bindings as B
+from auditlake.operators.ledger import AnswerLedger
 from auditlake.plans.registry import query
+from auditlake.session import scratch_path
 
 
 def _values(terms) -> str:
@@ -274,3 +276,21 @@ def grade_repeated_reports(spark, sf_dir):
         "doc_id", "accession_no", "priority_algo", "priority_hybrid", "hybrid_explanation", "llm_grade", "grade_status",
         "judge_grade", "judge_choice", "judge_ext_grade", "nodule_llm",
     )
+
+
+@query(_REPORTS + """
+    , texts AS (SELECT doc_id, t, doc_id % 7 AS part FROM grades),
+    first AS (SELECT count(DISTINCT t) AS n FROM texts WHERE part <> 0),
+    later AS (SELECT count(DISTINCT t) AS n FROM texts WHERE t NOT IN (SELECT t FROM texts WHERE part <> 0))
+    SELECT doc_id AS accession_no, llm::INT AS grade, CAST(NULL AS VARCHAR) AS error, (SELECT n FROM first) AS asked_first,
+           (SELECT n FROM later) AS asked_then, 0 AS asked_again FROM grades""")
+def answer_ledger(spark, sf_dir):
+    """Graders asked in three runs: most reports, all of them, all again. Only what is new is asked."""
+    reports = graded_reports(spark, sf_dir)
+    book = AnswerLedger(spark, scratch_path(spark, "ledger"), batch=2000, slots=8)
+    asked, factory = [], partial(grading.TermGrader, D.FINDING_TERMS)
+    for rows in (reports.where(F.col("accession_no") % 7 != 0), reports, reports):
+        graded, n = book.ask(rows, ["text_report"], "llm", "1", factory, "grade int", "accession_no")
+        asked.append(n)
+    counts = [F.lit(n).cast("long").alias(c) for n, c in zip(asked, ("asked_first", "asked_then"), strict=False)]
+    return graded.select("accession_no", "grade", "error", *counts, F.lit(asked[2]).alias("asked_again"))
