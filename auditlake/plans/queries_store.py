@@ -9,9 +9,10 @@ from auditlake.operators import intake
 from auditlake.plans import bindings as B
 from auditlake.plans.queries_change import _FIRST, _OLDER, _edits, _incoming, _older
 from auditlake.plans.queries_classify import LINE_ORDER, variant
+from auditlake.plans.queries_exchange import _full_scores
 from auditlake.plans.registry import query
 from auditlake.session import scratch_path, settings
-from auditlake.sources import exports, sinks
+from auditlake.sources import exports, precheck, sinks
 from auditlake.sources.study_table import StudyTable
 
 #: Small enough to cut the test files into many ranges.
@@ -134,3 +135,31 @@ def dates_by_column(spark, sf_dir):
 def date_votes(spark, sf_dir):
     """What the cells of each file's date column say about the order of day and month, and how many no form fits."""
     return intake.date_votes(_dated_reports(spark, sf_dir), ["PROCEDURE_START_DATE", "PROCEDURE_END_DATE"])
+
+
+@query(B.oracle(_OLDER + """
+    , keys AS (SELECT 0 AS upload, accession_no AS k FROM studies UNION SELECT 1, l_orderkey FROM lineitem)
+    , counted AS (SELECT upload, count(*) AS a, count(*) FILTER (WHERE k IN (SELECT accession_no FROM older)) AS e FROM keys GROUP BY upload
+                  UNION ALL SELECT -1, count(DISTINCT k), count(DISTINCT k) FILTER (WHERE k IN (SELECT accession_no FROM older)) FROM keys)
+    , files AS (SELECT 0 AS upload, 'scores' AS kind, '' AS missing, count(*) AS rows, NULL AS error FROM studies
+                UNION ALL SELECT 1, 'reports', '', count(*), NULL FROM lineitem
+                UNION ALL SELECT 2, 'unknown', 'ACCESSION_NO,TEXT_REPORT', count(*), NULL FROM part
+                UNION ALL SELECT 3, 'error', '', 0, 'not CSV: unexpected end of data' UNION ALL SELECT 4, 'error', '', 0, 'unsupported file type'
+                UNION ALL SELECT -1, 'all', '', (SELECT count(*) FROM studies) + (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part), NULL)
+    SELECT f.upload::INT AS upload, kind, missing, rows::BIGINT AS rows, coalesce(a, 0) AS accessions, coalesce(a - e, 0) AS "new",
+           coalesce(e, 0) AS existing, error FROM files f LEFT JOIN counted USING (upload)"""))
+def precheck_files(spark, sf_dir):
+    """Uploads of every kind, two of them broken, looked at before anything is imported."""
+    table = _table(spark, "prechecked")
+    table.insert(_older(spark, sf_dir), ["accession_no"], "first")
+    lines = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ACCESSION_NO"), F.col("l_returnflag").alias("TEXT_REPORT"))
+    regions = B.table(spark, sf_dir, "region").coalesce(1)
+    paths = [
+        sinks.write_csv(_full_scores(spark, sf_dir), scratch_path(spark, "pre-scores")),
+        sinks.write_csv(lines, scratch_path(spark, "pre-reports")),
+        sinks.write_csv(B.table(spark, sf_dir, "part").select("p_partkey", "p_name"), scratch_path(spark, "pre-other")),
+    ]
+    broken, text = scratch_path(spark, "pre-broken"), scratch_path(spark, "pre-text")
+    regions.agg(F.concat(F.lit('ACCESSION_NO,TEXT_REPORT\n1,"'), F.min("r_name"))).coalesce(1).write.option("quote", "").csv(broken)
+    regions.select("r_name").write.text(text)
+    return precheck.precheck(table, [*paths, broken, text]).drop("files")
