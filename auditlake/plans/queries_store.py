@@ -15,8 +15,8 @@ from auditlake.session import scratch_path, settings
 from auditlake.sources import exports, precheck, sinks
 from auditlake.sources.study_table import StudyTable
 
-#: Small enough to cut the test files into many ranges.
-SMALL_RANGES = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "16k"}
+#: So that small test files, too, are cut into a range per core.
+SMALL_RANGES = {"spark.sql.files.openCostInBytes": "64k"}
 
 
 @query("""
@@ -24,11 +24,11 @@ SMALL_RANGES = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.ope
            CASE WHEN doc_id % 3 = 0 THEN 'a"b' WHEN doc_id % 3 = 1 THEN NULL ELSE ',' || chr(10) END AS place,
            row_number() OVER (ORDER BY doc_id) AS place_in_file FROM documents""")
 def read_large_report_file(spark, sf_dir):
-    """One report file of many byte ranges, with quotes, delimiters and line breaks inside its fields, in the file's order."""
+    """Report files of many byte ranges, with quotes, delimiters and line breaks inside their fields, in the files' order."""
     docs = B.table(spark, sf_dir, "documents")
     place = variant(F.col("doc_id") % 3, F.lit('a"b'), F.lit(None).cast("string"), F.lit(",\n"))
     text = F.concat(F.lit('"'), "text", F.lit('", said the ""report""\n\n"'))
-    sheet = docs.orderBy("doc_id").coalesce(1).select(F.col("doc_id").alias("ACCESSION_NO"), text.alias("TEXT_REPORT"), place.alias("WORKPLACE"))
+    sheet = docs.orderBy("doc_id").select(F.col("doc_id").alias("ACCESSION_NO"), text.alias("TEXT_REPORT"), place.alias("WORKPLACE"))
     path = sinks.write_csv(sheet, scratch_path(spark, "large-reports"))
     with settings(spark, SMALL_RANGES):
         numbered = exports.read_labels(spark, path, split=True)

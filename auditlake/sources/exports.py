@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.functions import parsing as P
 from auditlake.operators.intake import ROW_ORDER
+from auditlake.operators.sizing import broadcast_keys
+from auditlake.session import materialize
 from auditlake.sources import ranges
 
 BOM = "﻿"
@@ -93,7 +95,7 @@ def read_labels(spark: SparkSession, path: str, split: bool | None = None) -> Da
     parts = placed.groupBy("_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or range
     shift = F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 2
-    shifts = parts.select("_part", shift.alias("_shift"))
+    shifts = broadcast_keys(materialize(parts.select("_part", shift.alias("_shift")), "label-lines"))
     columns = [placed[f"`{c}`"] for c in df.columns if c != ROW_ORDER]
     return placed.join(shifts, "_part").select(*columns, (F.col("_id") + F.col("_shift")).alias("row_no"))
 

@@ -19,10 +19,13 @@ Lines end with LF or CRLF. Null, empty and header-only files give no rows; more
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,17 +66,17 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
     """((file, first byte), lines) of stretches of one range each; a range may come in several stretches."""
     for batch in batches:
-        files, blocks, lines = (batch.column(i).to_pylist() for i in range(3))
-        i = 0
-        while i < len(lines):
-            j = i + 1
-            while j < len(lines) and blocks[j] == blocks[i] and files[j] == files[i]:
-                j += 1
-            yield (files[i], blocks[i]), lines[i:j]
-            i = j
+        files, blocks, lines = (batch.column(i) for i in range(3))
+        n = batch.num_rows
+        if not n:
+            continue
+        turn = pc.or_(pc.not_equal(files.slice(1), files.slice(0, n - 1)), pc.not_equal(blocks.slice(1), blocks.slice(0, n - 1)))
+        starts = [0, *(np.flatnonzero(turn.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for i, j in itertools.pairwise(starts):
+            yield (files[i].as_py(), blocks[i].as_py()), lines.slice(i, j - i)
 
 
 def range_ends(lines: DataFrame) -> DataFrame:
@@ -91,12 +94,11 @@ def range_ends(lines: DataFrame) -> DataFrame:
             if place != key:
                 if key:
                     yield row()
-                key, now, begins, crlf = place, [False, True], [False, False], place[1] == 0 and stretch[0].endswith("\r")
-            for line in stretch:
-                if '"' in line:  # else nothing changes
-                    after = {was: leaves_open(line, was) for was in set(now)}
-                    begins = [after[was] and (begins[k] or not was) for k, was in enumerate(now)]
-                    now = [after[was] for was in now]
+                key, now, begins, crlf = place, [False, True], [False, False], place[1] == 0 and stretch[0].as_py().endswith("\r")
+            for line in stretch.filter(pc.match_substring(stretch, '"')).to_pylist():  # other lines change nothing
+                after = {was: leaves_open(line, was) for was in set(now)}
+                begins = [after[was] and (begins[k] or not was) for k, was in enumerate(now)]
+                now = [after[was] for was in now]
         if key:
             yield row()
 
@@ -151,7 +153,7 @@ def cut_records(lines: DataFrame, owners: dict[tuple[str, int], int], crlf: set[
                 key, row, held = place, 0, []
                 owner = owners.get(place)
                 inside = owner is not None
-            for line in stretch:
+            for line in stretch.to_pylist():
                 if line.endswith("\r") and place[0] in crlf:
                     line = line[:-1]
                 if not held and owner is None and not line:
@@ -181,7 +183,7 @@ def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     lines = _lines(spark, paths)
     told = told_ranges(range_ends(lines)).collect()
     owners = {(r["file"], r["block"]): r["owner"] for r in told if r["owner"] is not None}
-    cut = materialize(cut_records(lines, owners, {r["file"] for r in told if r["crlf"]}), "csv-records")
+    cut = materialize(cut_records(lines, owners, {r["file"] for r in told if r["crlf"]}), "csv-records", compression="zstd")
     whole = cut.where(F.col("part").isNull()).drop("part")
     parts = F.array_sort(F.collect_list(F.struct("part", "record")))
     joined = cut.where(F.col("part").isNotNull()).groupBy("file", "block").agg(
