@@ -19,29 +19,69 @@ from auditlake.llm.toxicity import logistic
 BITS = 16
 ORDERS = (3, 4, 5)
 MAX_LABELLED = 100_000
+#: The default table has fewer URLs to block than others.
+BAD_WEIGHT = 2.0
 
 #: (verdict, host, path prefix): the longest fitting rule decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Labelled hosts and paths: 1 is to be blocked. Words of the kinds of pages a corpus should not hold, and of those it should.
+#: Words of names and paths that a corpus should not hold (gambling, drugs, adult, advertising, fraud, piracy), and of those it should.
+#: No host of a table to be judged is copied here: the classifier has to read its parts.
 _BAD = (
-    "casino-win casino-royal online-casino live-casino free-bets best-bets sports-bets bet-now slots-win jackpot-slots poker-win "
-    "cheap-pills buy-pills pills-online cheap-meds viagra-shop adult-x adult-cams adult-video xxx-tube porn-hd sex-chat "
-    "spam-farm link-farm seo-links buy-links ads-track ad-tracker click-track popup-ads adserver free-iphone win-prize "
-    "cheap-loans payday-loans quick-cash crypto-double get-rich free-money replica-watches fake-ids torrent-crack warez-keys"
+    "casino casinos gambling gamble roulette blackjack baccarat poker bingo slots jackpot betting bets bookmaker lottery wager "
+    "pills pill pharmacy meds viagra cialis xanax steroids tramadol botox adult xxx porn porno sex sexy cams camgirls escort escorts girls nude erotic hentai milf dating hookup "
+    "ads adserver adnetwork popup popunder tracker tracking clicks affiliate banner spam spammer backlinks seolinks linkfarm doorway "
+    "loans payday prize prizes sweepstakes giveaway winner getrich forex doubler scam phishing replica replicas fakeid counterfeit "
+    "warez crack cracked keygen torrent torrents serials nulled streamfree malware"
 ).split()
 _GOOD = (
-    "blog news docs wiki www m library museum school university science history garden kitchen travel weather music "
-    "forum support help developer research journal archive city council health clinic recipes cooking sports football "
-    "thering therin theren therat theres theand onhe erth inedan stouer reandl tionhe anthes oulyed haered ndoner essing "
-    "ledans quelle leauer entrer dieund schein enkeit losque parael cionda mentea"
+    "news blog docs wiki library museum school university science history garden kitchen travel weather music forum support help developer research "
+    "journal archive city council health clinic recipes cooking sports football books reading poems stories language grammar dictionary maps trains "
+    "flights hotels guide photos painting theatre cinema concerts radio birds plants trees rivers mountains ocean climate energy physics chemistry "
+    "biology medicine nursing hospital doctors dentist parents children toys games chess puzzles cars bikes repair tools houses furniture fashion "
+    "shoes flowers coffee bakery wine restaurant market shop store bank insurance taxes law court police fire rescue volunteers church jobs careers "
+    "office software code linux python data maths statistics economy politics election parliament europe asia africa families pets dogs cats horses "
+    "essex sussex middlesex analysis analytics adventure address admin adopt casing castle spanish spam-free pillow pillar track trackside betterment alphabet"
 ).split()
+#: Parts that stand on either side.
+_FILL = (
+    "best free online cheap top my super new daily world now club zone hub pro live easy real all first "
+    "videos movies room city offers list link star page site home room mega big hot fast point spot base plus"
+).split()
+_SOUNDS = "th ing ght ness ment ung keit eur elle ado ez ba be bi bo da de di do el en er fa fi ga go ha in ka ko la le li lo ma me mi mo na ne no on or pa pe ra re ri ro sa se si so ta te ti to un va ve wa we".split()
+_NEUTRAL = ("/", "/en/12", "/fr/7.html", "/de/31", "/es/204/", "/index.html", "/page/3", "/2021/05/18", "")
+_BASES = ("example.com", "www.example.org", "m.example.net", "blog.example.com", "example.info", "example.co.uk")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default table: every labelled host under three shapes of URL."""
-    shapes = ("http://{}.example.com/en/12", "https://www.{}.example.org/fr/7.html", "https://m.{}.example.net/de/31?page=2")
-    return [(s.format(h), y) for y, hosts in ((1, _BAD), (0, _GOOD)) for h in hosts for s in shapes]
+    """The default table of labelled URLs, by rule from the words above; 1 is to be blocked.
+
+    A URL is to be blocked if its host holds a bad word or its path does. Fill words, bases, and shapes of host and path occur on both sides.
+    """
+    rows = []
+
+    def add(host: str, path: str, y: int) -> None:
+        sub, base = ("", _BASES[len(rows) % len(_BASES)])
+        for prefix in ("www.", "m.", "blog."):
+            if base.startswith(prefix):
+                sub, base = prefix, base.removeprefix(prefix)
+        rows.append((f"https://{sub}{host}.{base}{path}", y))
+
+    for y, words in ((1, _BAD), (0, _GOOD)):
+        for i, word in enumerate(words):
+            fill = [_FILL[(7 * i + 3 * k) % len(_FILL)] for k in range(8)]
+            other = _GOOD[(7 * i + 3) % len(_GOOD)]
+            hosts = [word, f"{fill[0]}-{word}", f"{word}-{fill[1]}", f"{fill[2]}-{word}", f"{word}-{fill[3]}", f"{fill[4]}{word}", f"{word}{fill[5]}", f"{fill[6]}{word}", f"{word}{fill[7]}"]
+            for k, host in enumerate(hosts):
+                add(host, _NEUTRAL[(i + k) % len(_NEUTRAL)], y)
+            # The same word in the path of a good host.
+            for path in (f"/{word}/{i}", f"/{fill[0]}-{word}.html", f"/{fill[1]}/{word}-{fill[2]}", f"/{fill[3]}/{word}.html", f"/{word}/{fill[4]}"):
+                add(other, path, y)
+    for i in range(2000):  # names without meaning
+        n = len(_SOUNDS)
+        name = "".join(_SOUNDS[(i * k + k * k) % n] for k in (7, 11, 23, 31)[: 2 + i % 3])
+        add(name if i % 4 else f"{_FILL[i % len(_FILL)]}-{name}", _NEUTRAL[i % len(_NEUTRAL)], 0)
+    return rows
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -91,7 +131,7 @@ def train(labelled: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     cols = np.array([c for x in lists for c in x], np.int64)
     y = np.array([v for _, v in labelled], float)
-    return logistic(rows, cols, np.ones(len(cols)), y, 1 << BITS, penalty=0.3, steps=400)
+    return logistic(rows, cols, np.ones(len(cols)), y, 1 << BITS, penalty=0.1, steps=400, weight=np.where(y == 1, BAD_WEIGHT, 1.0))
 
 
 def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
