@@ -11,7 +11,7 @@ from auditlake.plans.queries_classify import LINE_ORDER, variant, variant_sql
 from auditlake.plans.registry import query
 from auditlake.session import scratch_path
 from auditlake.sources.study_table import StudyTable
-from auditlake.streaming import incremental
+from auditlake.streaming import cells, incremental
 
 CUTOFF = "2000-01-01"
 
@@ -273,3 +273,23 @@ def streaming_weekly_metrics(spark, sf_dir):
     weekly = incremental.weekly_confusion(stream, "label", "prediction", "ts")
     out = incremental.run_updates(weekly, scratch_path(spark, "trend"), scratch_path(spark, "trend-state"), ["week"])
     return out.withColumn("week", B.iso("week")).select("week", "tp", "tn", "fp", "fn")
+
+
+@query("""
+    WITH e AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS a,
+                      CASE WHEN value > 20 THEN 1 ELSE 0 END AS p FROM events)
+    SELECT strftime(week, '%Y-%m-%d') AS week, event_type AS site, count(*) FILTER (WHERE a = 1 AND p = 1) AS tp,
+           count(*) FILTER (WHERE a = 0 AND p = 0) AS tn, count(*) FILTER (WHERE a = 0 AND p = 1) AS fp,
+           count(*) FILTER (WHERE a = 1 AND p = 0) AS fn FROM e GROUP BY week, event_type""")
+def weekly_cells_incremental(spark, sf_dir):
+    """Weekly counts by site kept over a stream of files, one a batch; the whole stream comes twice and counts once."""
+    events = B.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "event-files")
+    events.repartition(3, "event_id").write.parquet(path)
+    book = cells.WeeklyCells(spark, scratch_path(spark, "weekly-cells"))
+    label, prediction = F.when(F.col("event_type") == "error", 1).otherwise(0), F.when(F.col("value") > 20, 1).otherwise(0)
+    for attempt in ("first", "again"):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        book.follow(stream, scratch_path(spark, f"cells-{attempt}"), "events", "ts", F.col("event_type"), label, prediction)
+    return cells.weekly_confusion(book.totals(), "site").withColumn("week", B.iso("week"))
