@@ -308,17 +308,18 @@ def pipeline_result_files(spark, sf_dir):
 
 
 @query(B.oracle("""
-    SELECT strftime(procedure_start_date, '%Y') AS run_id, 'completed' AS status, count(*) AS records,
-           count(gt_llm) AS added, count(*) - count(gt_llm) AS skipped FROM studies
-    GROUP BY 1 HAVING strftime(min(procedure_start_date), '%Y') IN ('1996', '1997')"""))
+    SELECT strftime(procedure_start_date, '%Y') AS run_id, 'upload' AS task_type, 'completed' AS status, count(*) AS records,
+           count(gt_llm) AS added, count(*) - count(gt_llm) AS skipped, CAST(count(gt_llm) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' graded' AS message,
+           strftime(min(procedure_start_date), '%Y-%m-%d') AS started, strftime(max(procedure_start_date), '%Y-%m-%d') AS completed
+    FROM studies GROUP BY 1"""))
 def run_records(spark, sf_dir):
-    """One run record per processed year, appended as each job ends."""
+    """One run record per processed year, with its counts and times."""
+    start = F.col("procedure_start_date")
+    per_year = B.studies(spark, sf_dir).groupBy(F.date_format(start, "yyyy").alias("run_id")).agg(
+        F.count("*").alias("records"), F.count("gt_llm").alias("added"), F.min(start).alias("started_at"), F.max(start).alias("completed_at"))
+    graded = F.concat(F.col("added").cast("string"), F.lit(" of "), F.col("records").cast("string"), F.lit(" graded"))
     table = StudyTable(spark, scratch_path(spark, "runs"))
-    for year in ("1996", "1997"):
-        part = B.studies(spark, sf_dir).where(filters.date_range("procedure_start_date", f"{year}-01-01", f"{year}-12-31"))
-        row = part.agg(F.count("*").alias("n"), F.count("gt_llm").alias("graded")).first()
-        table.record_run(
-            run_id=year, task_type="upload", status="completed", records=row["n"], added=row["graded"],
-            skipped=row["n"] - row["graded"],
-        )
-    return table.runs().select("run_id", "status", "records", "added", "skipped")
+    table.record_runs(per_year.withColumns({
+        "task_type": F.lit("upload"), "status": F.lit("completed"), "skipped": F.col("records") - F.col("added"), "message": graded}))
+    day = [F.date_format(c, "yyyy-MM-dd").alias(n) for c, n in (("started_at", "started"), ("completed_at", "completed"))]
+    return table.runs().select("run_id", "task_type", "status", "records", "added", "skipped", "message", *day)

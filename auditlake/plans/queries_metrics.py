@@ -238,24 +238,28 @@ def price_quantiles(spark, sf_dir):
            round(median(seconds), 6)::DOUBLE AS median, round(stddev_samp(seconds), 6)::DOUBLE AS std,
            min(seconds)::DOUBLE AS min, max(seconds)::DOUBLE AS max,
            count(*) FILTER (WHERE seconds > 300) AS late, count(*) FILTER (WHERE seconds < 0) AS negative,
-           round(count(*) FILTER (WHERE seconds > 300)::DOUBLE / count(*) * 100, 6)::DOUBLE AS late_pct
+           round(count(*) FILTER (WHERE seconds > 300)::DOUBLE / count(*) * 100, 6)::DOUBLE AS late_pct,
+           CASE WHEN count(*) FILTER (WHERE seconds > 300) = 0
+                THEN 'All ' || CAST(count(*) AS VARCHAR) || ' cases processed within 5 minutes' END AS note,
+           format('{}m {}s', CAST(trunc(avg(seconds) / 60) AS BIGINT), CAST(trunc(avg(seconds) % 60) AS BIGINT)) AS mean_text
     FROM (SELECT 'tcd' AS metric, tcd AS seconds FROM t UNION ALL SELECT 'tee', nullif(tee, 0) FROM t)
     GROUP BY metric"""))
 def time_summary(spark, sf_dir):
-    out = timing.time_summary(timing.with_times(B.timed_studies(spark, sf_dir))).drop("note", "mean_text")
+    out = timing.time_summary(timing.with_times(B.timed_studies(spark, sf_dir)))
     return B.rounded(out, "mean", "median", "std", "late_pct")
 
 
-@query(B.oracle(_TIMES + f"""
-    , rows_ AS ({_UNPIVOT}),
-      q AS (SELECT metric, count(*) AS n, list(seconds ORDER BY seconds) AS v FROM rows_ GROUP BY metric),
-      b AS (SELECT metric, n, v[floor(n * 0.25)::BIGINT + 1] AS q1, v[floor(n * 0.5)::BIGINT + 1] AS med,
-                   v[floor(n * 0.75)::BIGINT + 1] AS q3, v[1] AS min, v[n] AS max, v FROM q),
-      w AS (SELECT *, greatest(min, q1 - 1.5 * (q3 - q1)) AS whisker_low,
-                   least(max, q3 + 1.5 * (q3 - q1)) AS whisker_high FROM b)
+_BOXES = """
     SELECT metric, n, q1::DOUBLE AS q1, med::DOUBLE AS med, q3::DOUBLE AS q3, min::DOUBLE AS min, max::DOUBLE AS max,
            whisker_low::DOUBLE AS whisker_low, whisker_high::DOUBLE AS whisker_high,
-           len(list_filter(v, lambda x: x < whisker_low OR x > whisker_high)) AS outliers FROM w"""))
+           len(list_filter(v, lambda x: x < whisker_low OR x > whisker_high)) AS outliers
+    FROM (SELECT *, greatest(min, q1 - 1.5 * (q3 - q1)) AS whisker_low, least(max, q3 + 1.5 * (q3 - q1)) AS whisker_high
+          FROM (SELECT metric, n, v[floor(n * 0.25)::BIGINT + 1] AS q1, v[floor(n * 0.5)::BIGINT + 1] AS med,
+                       v[floor(n * 0.75)::BIGINT + 1] AS q3, v[1] AS min, v[n] AS max, v
+                FROM (SELECT metric, count(*) AS n, list(seconds ORDER BY seconds) AS v FROM {rows} GROUP BY metric)))"""
+
+
+@query(B.oracle(_TIMES + f", rows_ AS ({_UNPIVOT}) {_BOXES.format(rows='rows_')}"))
 def box_plot_stats(spark, sf_dir):
     return timing.box_plot_stats(timing.unpivot_times(timing.with_times(B.timed_studies(spark, sf_dir))))
 
@@ -272,14 +276,15 @@ def box_plot_outliers(spark, sf_dir):
 
 
 _WEEK = "CAST(date_trunc('week', procedure_start_date) AS DATE)"
+_WEEK_RATIOS = """
+    round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) * 100 END, 6)::DOUBLE AS sensitivity,
+    round(CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) * 100 END, 6)::DOUBLE AS specificity"""
 
 
 @query(B.oracle(f"""
     , w AS (SELECT {_WEEK} AS week, site, {cells_sql('gt_llm', 'prediction')} FROM studies GROUP BY 1, 2),
       g AS (SELECT * FROM (SELECT DISTINCT week FROM w), (SELECT DISTINCT site FROM w))
-    SELECT strftime(g.week, '%Y-%m-%d') AS week, strftime(g.week, '%d %b') AS week_label, g.site,
-           round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) * 100 END, 6)::DOUBLE AS sensitivity,
-           round(CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) * 100 END, 6)::DOUBLE AS specificity
+    SELECT strftime(g.week, '%Y-%m-%d') AS week, strftime(g.week, '%d %b') AS week_label, g.site, {_WEEK_RATIOS}
     FROM g LEFT JOIN w ON g.week = w.week AND g.site = w.site"""))
 def weekly_site_metrics(spark, sf_dir):
     out = trends.weekly_site_metrics(B.studies(spark, sf_dir), "gt_llm", "prediction")
@@ -361,6 +366,13 @@ _ALL_RATIOS = ["n", "tp", "tn", "fp", "fn", *RATIOS]
     {_WEEKLY.replace('FROM studies', 'FROM period')} {_BAND}
     , agree AS ({_KAPPA.format(keys='', cells=f"SELECT {cells_sql('gt_manual', 'gt_llm')} FROM period")})
     , mcn AS ({_MCNEMAR_TAIL.format(keys='', counts=_MCNEMAR_COUNTS.format(keys='', group='').replace('FROM studies', 'FROM period'))})
+    , box_rows AS ({_UNPIVOT}), boxes AS ({_BOXES.format(rows='box_rows')})
+    , ws AS (SELECT {_WEEK} AS week, site, {cells_sql('gt_llm', 'prediction')} FROM period GROUP BY 1, 2)
+    , grid AS (SELECT g.week, g.site, {_WEEK_RATIOS}
+               FROM (SELECT * FROM (SELECT DISTINCT week FROM ws), (SELECT DISTINCT site FROM ws)) g LEFT JOIN ws w ON g.week = w.week AND g.site = w.site)
+    , cases AS (SELECT accession_no, CASE WHEN workplace IS NULL THEN '—' ELSE site END AS site, gt_llm, gt_manual,
+                       round(CASE WHEN m > 0 THEN m ELSE 0 END, 1) AS highest_score
+                FROM (SELECT *, greatest(cardiomegaly, consolidation, nodule) AS m FROM period) WHERE gt_llm + gt_manual = 1)
     , last_band AS (SELECT value AS last_value, lower, upper FROM a, band WHERE week = (SELECT max(week) FROM a))
     {_long_sql('summary', "'all'", ['total', 'gt_llm_pos', 'prediction_pos', 'graded', 'ungraded'], 'quick')}
     UNION ALL {_long_sql('site_metrics', 'site', _ALL_RATIOS, 'sites')}
@@ -370,7 +382,11 @@ _ALL_RATIOS = ["n", "tp", "tn", "fp", "fn", *RATIOS]
     UNION ALL {_long_sql('weekly_balanced_accuracy', "strftime(week, '%Y-%m-%d')", ['value'], 'a')}
     UNION ALL {_long_sql('agreement', "'all'", ['n', 'agreement_pct', 'kappa'], 'agree')}
     UNION ALL {_long_sql('mcnemar', "'all'", ['b', 'c', 'statistic', 'p_value'], 'mcn')}
-    UNION ALL {_long_sql('control_band', "'all'", ['last_value', 'lower', 'upper'], 'last_band')}"""))
+    UNION ALL {_long_sql('control_band', "'all'", ['last_value', 'lower', 'upper'], 'last_band')}
+    UNION ALL {_long_sql('box_plots', 'metric', ['n', 'q1', 'med', 'q3', 'min', 'max', 'whisker_low', 'whisker_high', 'outliers'], 'boxes')}
+    UNION ALL {_long_sql('weekly_site_metrics', "strftime(week, '%Y-%m-%d') || ' ' || site", ['sensitivity', 'specificity'], 'grid')}
+    UNION ALL {_long_sql('false_negatives', "CAST(accession_no AS VARCHAR) || ' ' || site", ['gt_llm', 'gt_manual', 'highest_score'], '(SELECT * FROM cases WHERE gt_llm = 0)')}
+    UNION ALL {_long_sql('false_positives', "CAST(accession_no AS VARCHAR) || ' ' || site", ['gt_llm', 'gt_manual', 'highest_score'], '(SELECT * FROM cases WHERE gt_llm = 1)')}"""))
 def full_report_sections(spark, sf_dir):
     timed = timing.with_times(B.timed_studies(spark, sf_dir))
     return B.rounded(report.report_figures(timed, "1996-01-01", "1999-12-31"), "value")

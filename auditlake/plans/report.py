@@ -57,7 +57,7 @@ def report_sections(
 
 
 def report_figures(studies: DataFrame, first: str | None = None, last: str | None = None, sites: str | None = None) -> DataFrame:
-    """The numeric sections in one long table ``(section, item, metric, value)``."""
+    """Every section's figures in one long table ``(section, item, metric, value)``; case lists have an item per study."""
     s = report_sections(studies, first, last, sites)
 
     def long(section: str, df: DataFrame, item, metrics: list[str]) -> DataFrame:
@@ -79,6 +79,10 @@ def report_figures(studies: DataFrame, first: str | None = None, last: str | Non
         long("agreement", s["agreement"], F.lit("all"), ["n", "agreement_pct", "kappa"]),
         long("mcnemar", s["mcnemar"], F.lit("all"), ["b", "c", "statistic", "p_value"]),
         long("control_band", s["control_band"], F.lit("all"), ["last_value", "lower", "upper"]),
+        long("box_plots", s["box_plots"], F.col("metric"), ["n", "q1", "med", "q3", "min", "max", "whisker_low", "whisker_high", "outliers"]),
+        long("weekly_site_metrics", s["weekly_site_metrics"], F.concat_ws(" ", F.col("week").cast("string"), "site"), ["sensitivity", "specificity"]),
+        *[long(kind, s[kind], F.concat_ws(" ", F.col("accession_no").cast("string"), "site"), ["gt_llm", "gt_manual", "highest_score"])
+          for kind in ("false_negatives", "false_positives")],
     ]
     out = parts[0]
     for p in parts[1:]:

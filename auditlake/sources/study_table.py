@@ -329,5 +329,9 @@ class StudyTable:
         row = tuple(run.get(n) for n in names)
         self.spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
 
+    def record_runs(self, runs: DataFrame) -> None:
+        """Append a row per finished job; columns that are not given stay null."""
+        M.conform(runs, T._parse_datatype_string(RUN)).write.mode("append").parquet(f"{self.root}/runs")
+
     def runs(self) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(f"{self.root}/runs")
