@@ -30,20 +30,33 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 _own: dict[str, str] = {}
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder under the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir``. Only a local session, whose driver and
     executors share one machine, may leave it unset and then gets a temporary folder.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        context = spark.sparkContext
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="auditlake-")
         _own[context.applicationId] = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/auditlake-{context.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the session's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the session's scratch folder: call it when a job's results are written and none of its DataFrames is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(path):
+        fs.delete(path, True)
 
 
 def materialize(df, name: str, **options):

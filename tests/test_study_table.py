@@ -164,3 +164,15 @@ def test_an_empty_table_and_empty_batches(spark, tmp_path):
     t.delete(spark.createDataFrame([(1,)], "accession_no long"))
     t.compact()
     assert t.snapshot().version == 0 and t.months() == []
+
+
+def test_scratch_is_removed_on_request(spark, monkeypatch, tmp_path):
+    import pathlib
+
+    from auditlake import session
+
+    monkeypatch.setattr(session, "scratch_root", lambda spark: f"{tmp_path}/scratch")
+    assert session.materialize(spark.range(3), "few").count() == 3 and list(pathlib.Path(tmp_path, "scratch").iterdir())
+    session.clear_scratch(spark)
+    session.clear_scratch(spark)
+    assert not pathlib.Path(tmp_path, "scratch").exists()
