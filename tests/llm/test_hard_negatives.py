@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import oracle
 from auditlake.llm import hard_negatives as hn
 from auditlake.llm.common import table
 
@@ -99,3 +100,8 @@ def test_best_keeps_the_first_of_all_batches():
         seen += [(g, -scores[i, g], ids[i], rows[i]) for i in range(10) for g in range(4) if allowed[i, g]]
     want = [x for g in range(4) for x in sorted(s for s in seen if s[0] == g)[:3]]
     assert [(g, -s, i, k) for g, s, i, k in zip(*best.kept)] == want
+
+
+def test_query_against_its_oracle_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert oracle.differences(entry.queries()["op13_hard_negatives"](spark, sf), oracle.connect(sf), entry.oracle_sql()["op13_hard_negatives"]) == []
