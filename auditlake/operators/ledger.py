@@ -53,20 +53,20 @@ class AnswerLedger:
         """``(key, outputs..., error)`` for every row, and how many digests were asked now."""
         names = [f.name for f in T._parse_datatype_string(outputs).fields]
         digest = F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256).alias("digest")
-        rows = materialize(df.select(key, *inputs, digest), "ledger-rows")
+        rows = materialize(df.select(key, digest), "ledger-rows")
         known = self.answers(step, version, outputs).select("digest")
-        open_ = materialize(rows.select("digest", *inputs).dropDuplicates(["digest"]).join(known, "digest", "left_anti"), "ledger-open")
+        open_ = materialize(rows.select("digest").distinct().join(known, "digest", "left_anti"), "ledger-open")
         asked = open_.count()
         waves = -(-asked // (self.batch * self.slots))
         if waves:
-            # Digests are spread evenly: a batch has about ``batch`` of them.
+            # Digests are spread evenly: a batch has about ``batch`` of them. Inputs move once, to their wave and slot.
             batch = F.pmod(F.xxhash64("digest"), F.lit(waves * self.slots))
+            placed = df.select(*inputs, digest).join(open_, "digest", "left_semi")
+            placed = placed.withColumn("slot", (batch % self.slots).cast("int")).withColumn("wave", F.floor(batch / self.slots))
             path = scratch_path(self.spark, "ledger-waves")
-            placed = open_.withColumn("slot", (batch % self.slots).cast("int")).withColumn("wave", F.floor(batch / self.slots))
-            placed.hint("rebalance", "wave").write.partitionBy("wave").parquet(path)
+            placed.repartition("wave", "slot").dropDuplicates(["wave", "slot", "digest"]).write.option("compression", "zstd").partitionBy("wave").parquet(path)
             schema = T.StructType([f for f in placed.schema.fields if f.name != "wave"])
-            written = {r["wave"] for r in placed.select("wave").distinct().collect()}
-            for wave in sorted(written):
+            for wave in sorted(r["wave"] for r in open_.select(F.floor(batch / self.slots).alias("wave")).distinct().collect()):
                 self._wave(self.spark.read.schema(schema).parquet(f"{path}/wave={wave}"), inputs, step, version, factory, outputs, names)
         failed = self.failures(step, version).groupBy("digest").agg(F.max("error").alias("error"))
         answers = self.answers(step, version, outputs).withColumn("_answered", F.lit(True))
