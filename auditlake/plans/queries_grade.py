@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from auditlake import dictionaries as D
 from auditlake.functions.binding import literals
-from auditlake.operators import grading, scoring
+from auditlake.operators import grading, nearest, scoring
+from auditlake.operators.ledger import AnswerLedger
 from auditlake.operators.sizing import spread
 from auditlake.plans import bindings as B
-from auditlake.operators.ledger import AnswerLedger
+from auditlake.plans.queries_classify import variant
 from auditlake.plans.registry import query
 from auditlake.session import scratch_path
 
@@ -294,3 +295,19 @@ def answer_ledger(spark, sf_dir):
         asked.append(n)
     counts = [F.lit(n).cast("long").alias(c) for n, c in zip(asked, ("asked_first", "asked_then"), strict=False)]
     return graded.select("accession_no", "grade", "error", *counts, F.lit(asked[2]).alias("asked_again"))
+
+
+@query("""
+    WITH dict AS (SELECT c_name AS term, c_custkey AS code FROM customer UNION ALL SELECT p_name, 1000000000 + min(p_partkey) FROM part GROUP BY p_name),
+    asked AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 2) WHEN 2 THEN replace(p_name, 'i', 'yy')
+                ELSE reverse(p_name) || CAST(p_partkey % 50 AS VARCHAR) END AS term FROM part)
+    SELECT a.term, arg_min(d.code, levenshtein(a.term, d.term) * 10000000000 + d.code) AS code,
+           min(levenshtein(a.term, d.term))::INT AS distance FROM asked a, dict d GROUP BY a.term""")
+def nearest_term_indexed(spark, sf_dir):
+    """Misspelt names against a dictionary of names that grows with the tables: near ones by index, far ones by bounds."""
+    part, customer = B.table(spark, sf_dir, "part"), B.table(spark, sf_dir, "customer")
+    known = customer.select(F.col("c_name").alias("term"), F.col("c_custkey").cast("long").alias("code")).unionByName(
+        part.groupBy(F.col("p_name").alias("term")).agg((F.lit(1000000000) + F.min("p_partkey")).cast("long").alias("code")))
+    name, n = F.col("p_name"), F.col("p_partkey")
+    spelt = variant(n, name, F.substring(name, 2, 1000), F.replace(name, F.lit("i"), F.lit("yy")), F.concat(F.reverse(name), (n % 50).cast("string")))
+    return nearest.nearest_terms(part.select(spelt.alias("term")), known)
