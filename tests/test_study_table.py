@@ -108,6 +108,19 @@ def test_a_lost_race_for_a_number_takes_the_next(spark, table):
     assert table.snapshot().version == now.version + 1 and len(content(table)) == 60
 
 
+def test_publishing_by_rename_refuses_a_taken_number(spark, tmp_path, monkeypatch):
+    def by_rename(self, own, name):
+        import pathlib
+
+        fs = self._fs(self._path())
+        return self._rename(fs, self._path(pathlib.Path(own).name), self._path(name))
+
+    book = Manifests(spark, str(tmp_path / "m"))
+    monkeypatch.setattr(Manifests, "_link", by_rename)
+    assert book.publish(Snapshot(1, 2, [{"kind": "rows", "month": "a"}])) and not book.publish(Snapshot(1, 3, []))
+    assert book.latest() == Snapshot(1, 2, [{"kind": "rows", "month": "a"}]) and book.versions() == [1]
+
+
 def test_endless_conflicts_end_in_an_error(spark, table, monkeypatch):
     monkeypatch.setattr(Manifests, "publish", lambda self, snapshot: False)
     monkeypatch.setattr("auditlake.sources.study_table.RETRIES", 2)
