@@ -205,8 +205,9 @@ def grade_pipeline(
     parts = [F.col(c) for c in dict.fromkeys([key, report, *given])]
     cleaned = cleaned.withColumn(row, F.sha2(F.to_json(F.struct(*parts)), 256))
     key = row  # from here on
-    texts = cleaned.select(key, report).dropDuplicates([key])
-    grades = cleaned.select(key, *given).dropDuplicates([key])
+    # Cleaned and made distinct once: every step reads it.
+    pinned_rows = materialize(cleaned.select(key, report, *given).dropDuplicates([key]), "reports", compression="zstd")
+    texts, grades = pinned_rows.select(key, report), pinned_rows.select(key, *given)
 
     if "semialgo" in steps:
         if "semialgo" in graders:
