@@ -1,9 +1,10 @@
 """Nearest dictionary term by edit distance, for dictionaries of any size: a joined index over distinct terms.
 
-Equal terms meet in a join. Terms within two edits share a string that both become by deleting up to two letters, so a join on those
-strings finds all of them; a match there is exact, ties included. What is left over is far from every term; it is compared with the dictionary
-block by block, where length and letter counts bound the distance from below and only terms that may still be nearer are computed.
-The dictionary passes through the driver in blocks of ``BLOCK_TERMS`` terms, one after the other.
+Equal terms meet in a join. Of three pieces of a dictionary term, two edits leave one whole and nearly in its place, so only terms with a
+piece that an asked term has there can be within two edits. Such terms share a string that both become by deleting up to two letters, so a join on those
+strings finds all of them; a match there is exact, ties included. What is left over is far from every term; it meets the dictionary
+in cells of a block of the one and a block of the other, where letter counts bound the distance from below. A first walk over all cells computes
+the most promising terms of each, a second one those whose bound is within the best distance of the first.
 
 The earliest term (smallest code) wins a tie. Null terms have no nearest one; nor has any term if the dictionary is empty. A repeated
 dictionary term counts with its smallest code. Deletions grow with the square of a term's length.
@@ -11,8 +12,6 @@ dictionary term counts with its smallest code. Deletions grow with the square of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,8 +21,10 @@ from auditlake.session import materialize
 
 EDITS = 2
 BLOCK_TERMS = 50_000
-#: Dictionary terms computed together, nearest bounds first.
-STEP = 1024
+#: Far terms that meet a block of the dictionary in one task.
+ASKED_TERMS = 4096
+#: Dictionary terms computed together, nearest bounds first: so many at first, then doubling.
+STEP, MOST = 64, 1024
 _BINS = 64
 
 
@@ -41,6 +42,35 @@ def deletions(term: Column, edits: int = EDITS) -> Column:
     return every
 
 
+def _cut(size: Column, i: int) -> Column:
+    """Where the i-th of ``EDITS + 1`` pieces of a term of that length begins."""
+    return F.floor(size * i / (EDITS + 1)).cast("int")
+
+
+def _piece(size: Column, i: int, text: Column) -> Column:
+    return F.xxhash64(size, F.lit(i), text)
+
+
+def own_pieces(term: Column) -> Column:
+    """Keys of the pieces of a dictionary term."""
+    size = F.length(term)
+    return F.array(*[_piece(size, i, F.substring(term, _cut(size, i) + 1, _cut(size, i + 1) - _cut(size, i))) for i in range(EDITS + 1)])
+
+
+def met_pieces(term: Column) -> Column:
+    """Keys of every piece that a dictionary term within the edits may share with this term."""
+    keys = []
+    for longer in range(-EDITS, EDITS + 1):
+        size = F.length(term) + longer
+        for i in range(EDITS + 1):
+            wide = _cut(size, i + 1) - _cut(size, i)
+            for shift in range(-EDITS, EDITS + 1):
+                at = _cut(size, i) + shift
+                fits = (size >= 0) & (at >= 0) & (at + wide <= F.length(term))
+                keys.append(F.when(fits, _piece(size, i, F.substring(term, at + 1, wide))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
 def _letters(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points padded with zeros, lengths)."""
     size = np.array([len(t) for t in terms], np.int64)
@@ -71,64 +101,91 @@ def distances(term: np.ndarray, letters: np.ndarray, size: np.ndarray) -> np.nda
 
 
 class Block:
-    """Dictionary terms with what bounds their distance from below."""
+    """Dictionary terms with what bounds their distance from below; terms of the same letters share a bound."""
 
     def __init__(self, terms: list[str], codes: list[int]):
-        self.letters, self.size = _letters(terms)
-        self.codes, self.bags = np.array(codes, np.int64), _bags(self.letters, self.size)
-
-    def nearest(self, term: str) -> tuple[int, int]:
-        """(distance, code) of the nearest term of the block."""
+        letters, size = _letters(terms)
+        self.bags, of = np.unique(_bags(letters, size), axis=0, return_inverse=True)
+        by_bag = np.argsort(of.ravel(), kind="stable")
+        self.letters, self.size, self.codes = letters[by_bag], size[by_bag], np.array(codes, np.int64)[by_bag]
+        self.ends = np.cumsum(np.bincount(of.ravel(), minlength=len(self.bags)))
+
+    def nearest(self, term: str, best: tuple[int, int] = (1 << 60, -1), first: bool = False) -> tuple[int, int]:
+        """(distance, code) of the nearest term of the block if it is better than ``best``, else that; or with ``first`` of the most promising ones."""
         letters, size = _letters([term])
         over = self.bags - _bags(letters, size)
         bound = np.maximum(np.maximum(over, 0).sum(axis=1), np.maximum(-over, 0).sum(axis=1))
-        order, best = np.argsort(bound, kind="stable"), (1 << 60, -1)
-        for i in range(0, len(order), STEP):
-            part = order[i : i + STEP]
-            if bound[part[0]] > best[0]:
+        worth = np.flatnonzero(bound <= best[0])
+        order = worth[np.argsort(bound[worth], kind="stable")]
+        counts = np.diff(self.ends, prepend=0)[order]
+        step, done, n = STEP, 0, int(counts.sum())
+        ends = np.cumsum(counts)
+        while done < n:
+            # Places done .. done + step of the terms in the order of their bags.
+            at = np.arange(done, min(done + step, n))
+            of = np.searchsorted(ends, at, side="right")
+            if bound[order[of[0]]] > best[0]:
                 break
+            part = self.ends[order[of]] - (ends[of] - at)
             wide = int(self.size[part].max(initial=0))
             found = distances(letters[0, : size[0]], self.letters[part, : max(wide, 1)], self.size[part])
             low = found.min()
             best = min(best, (int(low), int(self.codes[part[found == low]].min())))
+            if first:
+                break
+            done, step = done + step, min(2 * step, MOST)
         return best
 
 
+def _walk(far: DataFrame, terms: DataFrame, blocks: int, parts: int, first: bool) -> DataFrame:
+    """``(term, code, distance)`` of far terms that come with their best so far, once per block of the dictionary in which a term is better."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and known.num_rows:
+            block = Block(known.column("known").to_pylist(), known.column("code").to_pylist())
+            for term, distance, code in zip(*(asked.column(c).to_pylist() for c in ("term", "distance", "code")), strict=True):
+                best = block.nearest(term, (distance, code), first)
+                if best != (distance, code):
+                    out.append((term, best[1], best[0]))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "code", "distance"])
+
+    def all_of(n: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    left = far.select("term", "distance", "code", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part"), all_of(blocks, "block"))
+    right = terms.select("known", "code", F.pmod(F.xxhash64("known"), F.lit(blocks)).cast("int").alias("block"), all_of(parts, "part"))
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
+    return met.applyInArrow(run, "term string, code long, distance long")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.groupBy("term").agg(F.min(F.struct("distance", "code")).alias("b")).select("term", "b.code", "b.distance")
+
+
 def nearest_terms(asked: DataFrame, dictionary: DataFrame, term: str = "term", code: str = "code", block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``(term, code, distance)`` per distinct term of ``asked``; ``dictionary`` holds terms and their codes."""
-    spark = asked.sparkSession
     terms = dictionary.where(F.col(term).isNotNull()).groupBy(F.col(term).cast("string").alias("known")).agg(F.min(F.col(code).cast("long")).alias("code"))
     terms = materialize(terms, "dictionary")
     wanted = materialize(asked.where(F.col(term).isNotNull()).select(F.col(term).cast("string").alias("term")).distinct(), "asked-terms")
-    kept = "term string, code long, distance int"
-    equal = wanted.join(terms, wanted["term"] == terms["known"]).select("term", "code", F.lit(0).alias("distance"))
+    equal = wanted.join(terms, wanted["term"] == terms["known"]).select("term", "code", F.lit(0).cast("long").alias("distance"))
     others = wanted.join(terms, wanted["term"] == terms["known"], "left_anti")
+    pieces = others.select(F.explode(met_pieces(F.col("term"))).alias("piece")).distinct()
+    close = terms.select("known", "code", F.explode(own_pieces(F.col("known"))).alias("piece")).join(pieces, "piece", "left_semi").select("known", "code").distinct()
     left = others.select("term", F.explode(deletions(F.col("term"))).alias("key")).withColumn("key", F.xxhash64("key"))
-    right = terms.select("known", "code", F.explode(deletions(F.col("known"))).alias("key")).withColumn("key", F.xxhash64("key"))
-    distance = F.levenshtein("term", "known", EDITS)
+    right = close.select("known", "code", F.explode(deletions(F.col("known"))).alias("key")).withColumn("key", F.xxhash64("key"))
+    distance = F.levenshtein("term", "known", EDITS).cast("long")
     near = left.join(right, "key").select("term", "code", distance.alias("distance")).where(F.col("distance") >= 0)
-    near = near.groupBy("term").agg(F.min(F.struct("distance", "code")).alias("b")).select("term", "b.code", "b.distance")
-    found = materialize(equal.unionByName(near), "near-terms")
-    far = materialize(wanted.join(found, "term", "left_anti"), "far-terms")
-    parts, last = [found.select("term", "code", "distance")], None
-    while True:
-        rest = terms if last is None else terms.where(F.col("known") > last)
-        rows = rest.orderBy("known").limit(block_terms).collect()  # one block
-        if not rows:
-            break
-        block, last = Block([r["known"] for r in rows], [r["code"] for r in rows]), rows[-1]["known"]
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                best = [block.nearest(t) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([c for _, c in best], pa.int64()), pa.array([d for d, _ in best], pa.int32())], names=["term", "code", "distance"])
-
-        parts.append(materialize(far.repartition("term").mapInArrow(run, kept), "far-block"))
-        if len(rows) < block_terms:
-            break
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = every.groupBy("term").agg(F.min(F.struct("distance", "code")).alias("b"))
-    return best.select("term", "b.code", "b.distance")
+    found = materialize(equal.unionByName(_best(near)), "near-terms")
+    far = materialize(wanted.join(found, "term", "left_anti").select("term", F.lit(1 << 60).alias("distance"), F.lit(-1).cast("long").alias("code")), "far-terms")
+    n_far, n_terms = far.count(), terms.count()
+    result = found
+    if n_far and n_terms:
+        blocks = -(-n_terms // block_terms)
+        cores = asked.sparkSession.sparkContext.defaultParallelism
+        parts = max(-(-n_far // ASKED_TERMS), min(-(-n_far // STEP), -(-2 * cores // blocks)))
+        seen = materialize(_best(_walk(far, terms, blocks, parts, True)), "far-seen")
+        better = materialize(_walk(seen, terms, blocks, parts, False), "far-better")
+        result = found.unionByName(_best(seen.unionByName(better)))
+    return result.select("term", "code", F.col("distance").cast("int"))

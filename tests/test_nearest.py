@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from auditlake.operators import nearest
 
@@ -43,3 +44,29 @@ def test_a_dictionary_of_fifty_thousand_terms(spark):
         all_pairs = nearest.distances(np.frombuffer(a.encode("utf-32-le"), "<u4"), letters, size)
         assert got[a] == (all_pairs.min(), all_pairs.argmin())
     assert all(edit_distance(a, terms[c]) == d for a, (d, c) in got.items())
+
+
+def test_a_piece_of_each_term_within_two_edits_is_met(spark):
+    terms = some_terms(4, 200)
+    r = random.Random(5)
+    pairs = []
+    for t in terms:
+        a = t
+        for _ in range(r.randint(0, 2)):
+            i = r.randint(0, len(a))
+            a = r.choice([a[:i] + r.choice("abx") + a[i:], a[:i] + a[i + 1 :], a[:i] + r.choice("abx") + a[i + 1 :]])
+        pairs.append((a, t))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(F.arrays_overlap(nearest.met_pieces(F.col("a")), nearest.own_pieces(F.col("b")))).count() == len(pairs)
+
+
+def test_blocks_without_a_near_term_are_passed_over(spark, monkeypatch):
+    """Most of the dictionary is far from the asked terms: the best of another block bounds the search there."""
+    names = [f"Customer#{i:09d}" for i in range(3000)]
+    block = nearest.Block(names, list(range(3000)))
+    computed = []
+    real = nearest.distances
+    monkeypatch.setattr(nearest, "distances", lambda t, letters, size: computed.append(len(size)) or real(t, letters, size))
+    assert block.nearest("gnir egral12", (8, 5)) == (8, 5)
+    assert sum(computed) == 0
+    assert block.nearest("Customer#00000299", (3, 9)) == (1, 299)
