@@ -148,7 +148,8 @@ class StudyTable:
         alive = F.broadcast(self.spark.createDataFrame(live, "folder string, month string"))  # of the size of the manifest
         index = index.join(alive, ["folder", "month"], "left_semi")
         found: dict[tuple[str, str], list[str]] = {}
-        for r in key_index.candidate_files(index, keys, M.KEY, self._bucket(now)).collect():  # names of files
+        stored = sum(e["rows"] for e in now.entries if e["kind"] == "rows")
+        for r in key_index.candidate_files(index, keys, M.KEY, self._bucket(now), stored).collect():  # names of files
             found.setdefault((r["folder"], r["month"]), []).append(r["file"])
         return found
 

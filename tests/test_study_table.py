@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake.session import settings
 from auditlake.sources import key_index
 from auditlake.sources.manifests import Conflict, Manifests, Snapshot
 from auditlake.sources.study_table import StudyTable
@@ -189,3 +190,32 @@ def test_scratch_is_removed_on_request(spark, monkeypatch, tmp_path):
     session.clear_scratch(spark)
     session.clear_scratch(spark)
     assert not pathlib.Path(tmp_path, "scratch").exists()
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_the_index_is_built_without_gathering_a_file_and_in_parts(spark, table, monkeypatch):
+    monkeypatch.setattr(key_index, "PART_KEYS", 100)
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "50"}):
+        table.insert(rows(spark, [(i, "L", None, "2024-01-09") for i in range(1000, 1400)]), ["seq"], "b2")
+    index = spark.read.option("recursiveFileLookup", True).parquet(f"{table.root}/keys").where("low >= 1000")
+    assert index.count() >= 4 and index.agg(F.sum("rows")).first()[0] == 400 and index.agg(F.max("rows")).first()[0] <= 150
+    assert sum(e["rows"] for e in table.snapshot().entries) == 460
+    written = spark.range(5).select(F.col("id").alias("k"), *[F.lit("x").alias(c) for c in ("file", "folder", "month")], F.lit(0).alias("bucket"))
+    assert "Exchange" not in plan(key_index.index_files(written, "k"))
+
+
+def test_many_keys_open_the_files_of_their_stretches(spark, table, monkeypatch):
+    """More keys of a bucket than are probed: no file that holds one is missed, and no task gathers them."""
+    for first in (1000, 5000, 9000):
+        table.insert(rows(spark, [(i, "L", None, "2024-01-09") for i in range(first, first + 40)]), ["seq"], f"b{first}")
+    keys = spark.createDataFrame([(k,) for k in [*range(1000, 1040), *range(9000, 9040)] * 2], "accession_no long")
+    probed = table.candidates(keys)
+    monkeypatch.setattr(key_index, "PROBED_KEYS", 3)
+    found = table.candidates(keys)
+    assert found == probed and len(found) == 2
+    assert sorted(r["accession_no"] for r in table.rows_of(keys).collect()) == [*range(1000, 1040), *range(9000, 9040)]
+    ends = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (5010,), (5011,)], "accession_no long")
+    assert [r["accession_no"] for r in table.rows_of(ends).orderBy("accession_no").collect()] == [5010, 5011]
