@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import posixpath
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -20,35 +21,57 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.functions import parsing as P
 from auditlake.operators import merges as M
-from auditlake.session import materialize
+from auditlake.session import materialize, settings
 from auditlake.sources import ranges
 from auditlake.sources.exports import BOM, kind_of, read_csv
 from auditlake.sources.study_table import StudyTable
 
 #: Bytes of a file that one task reads as a whole.
 LARGE = 64 << 20
+#: Keys of a file that a task remembers in order not to tell them again, and keys handed on together.
+HELD_KEYS = 1 << 16
+KEY_BATCH = 1 << 13
+#: A file with its content is a batch of its own.
+ONE_FILE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 TOTAL = -1
 PARTS = "upload int, file string, kind string, missing string, rows long, error string, raw string"
 
 
-def look(name: str, content: bytes) -> tuple[str, str, int, str | None, list[str]]:
-    """(kind, missing columns, rows, error, distinct keys as text) of one file."""
+def _lines(content: bytes | pa.Buffer) -> Iterator[list[str]]:
+    text = io.TextIOWrapper(pa.BufferReader(content), encoding="utf-8", newline="")
+    return (line for line in csv.reader(text, strict=True) if line)
+
+
+def _keys(content: bytes | pa.Buffer, at: int) -> Iterator[str]:
+    """Keys of a file that is known to be sound; few of them repeat."""
+    lines, seen = _lines(content), set()
+    next(lines)
+    for line in lines:
+        if at < len(line) and line[at] not in seen:
+            yield line[at]
+            if len(seen) == HELD_KEYS:
+                seen.clear()
+            seen.add(line[at])
+
+
+def look(name: str, content: bytes | pa.Buffer) -> tuple[str, str, int, str | None, Iterable[str]]:
+    """(kind, missing columns, rows, error, keys as text) of one file. It is read to its end first, and again for its keys, held line by line."""
     if not name.lower().endswith(".csv"):
         return "error", "", 0, "unsupported file type", []
     try:
-        lines = (line for line in csv.reader(io.StringIO(content.decode("utf-8"), newline=""), strict=True) if line)
-        header = next(lines, None)
+        try:
+            lines = _lines(content)
+            header = next(lines, None)
+            rows = sum(1 for _ in lines)
+        except (UnicodeDecodeError, csv.Error):
+            bytes(content).decode("utf-8")  # tells the place in the file, and comes before errors of CSV
+            raise
         if header is None:
             return "error", "", 0, "empty file", []
         header[0] = header[0].lstrip(BOM)
         kind, missing = kind_of(header)
         at = next((header.index(c) for c in S.SCORE_KEY_HEADERS if c in header), None)
-        keys, rows = {}, 0
-        for line in lines:
-            rows += 1
-            if at is not None and at < len(line):
-                keys[line[at]] = None
-        return kind, ",".join(missing), rows, None, list(keys)
+        return kind, ",".join(missing), rows, None, [] if at is None else _keys(content, at)
     except UnicodeDecodeError as e:
         return "error", "", 0, f"not UTF-8 at byte {e.start}", []
     except csv.Error as e:
@@ -86,10 +109,13 @@ def _parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         for batch in batches:
             for file, content in zip(*(batch.column(i) for i in range(2)), strict=True):
                 file = file.as_py()
-                kind, missing, rows, error, keys = look(posixpath.basename(file), content.as_py())
+                kind, missing, rows, error, keys = look(posixpath.basename(file), content.as_buffer())
                 upload = upload_of(file)
-                values = [(upload, file, kind, missing, rows, error, None), *((upload, file, None, None, None, None, k) for k in keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*values), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((upload, file, kind, missing, rows, error, None), kinds, strict=True)], names=names)
+                for some in itertools.batched(keys, KEY_BATCH):
+                    n = len(some)
+                    values = [[upload] * n, [file] * n, *[pa.nulls(n, k) for k in kinds[2:6]], some]
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     parts = files.where(F.col("length") <= LARGE).select("path", "content").mapInArrow(run, PARTS)
@@ -120,7 +146,9 @@ def precheck(table: StudyTable, paths: Sequence[str]) -> DataFrame:
     An upload is a file or a folder of files. A key in several files counts once per upload and once over all. Of a folder's kinds,
     missing columns and errors the first in name order are shown; rows of broken files don't count.
     """
-    parts = materialize(_parts(table.spark, paths), "precheck")
+    parts = _parts(table.spark, paths)
+    with settings(table.spark, ONE_FILE):
+        parts = materialize(parts, "precheck")
     keys = materialize(
         parts.where(F.col("raw").isNotNull()).select("upload", P.accession(F.col("raw")).alias(M.KEY)).where(F.col(M.KEY).isNotNull()).distinct(), "precheck-keys")
     every = materialize(keys.select(F.lit(TOTAL).alias("upload"), M.KEY).distinct(), "precheck-all-keys")

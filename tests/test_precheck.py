@@ -40,3 +40,16 @@ def test_files_of_all_kinds(spark, tmp_path, monkeypatch):
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "20b", "spark.sql.files.openCostInBytes": "8b"}):
         small = told()
     assert {k: v for k, v in small.items() if k in (0, 1, 2)} == {k: want[k] for k in (0, 1, 2)} and small[3] == want[6]
+
+
+def test_keys_of_a_file_are_told_as_they_are_read(monkeypatch):
+    monkeypatch.setattr(precheck, "HELD_KEYS", 2)
+    kind, missing, rows, error, keys = precheck.look("r.csv", "﻿ACCESSION_NO,TEXT_REPORT\n1,a\n1,b\n2,c\n3,d\n1,e\n".encode())
+    assert (kind, missing, rows, error) == ("reports", "", 5, None) and iter(keys) is keys and list(keys) == ["1", "2", "3", "1"]
+    broken = precheck.look("r.csv", b'ACCESSION_NO,TEXT_REPORT\n1,a\n2,"b')
+    assert broken[:3] == ("error", "", 0) and broken[3].startswith("not CSV") and list(broken[4]) == []
+    assert precheck.look("r.csv", b'ACCESSION_NO,TEXT_REPORT\n1,"a"b\n\xe9')[3] == "not UTF-8 at byte 32"
+
+
+def test_a_file_with_its_content_is_a_batch_of_its_own():
+    assert precheck.ONE_FILE["spark.sql.execution.arrow.maxRecordsPerBatch"] == "1"
