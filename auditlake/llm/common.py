@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a step looks at together; bounds the memory of numpy temporaries.
 BLOCK_BYTES = 1 << 19
+#: For steps that hand whole texts to Python: a batch lies in both processes, several times over while it is read.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

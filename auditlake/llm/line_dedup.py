@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import blocks, by_name, free_name, utf8
-from auditlake.session import materialize
+from auditlake.llm.common import SMALL_BATCHES, blocks, by_name, free_name, utf8
+from auditlake.session import materialize, settings
 
 MIN_WORDS = 4
 NEAR_WORDS = 8
@@ -144,7 +144,8 @@ def repeated_lines(
     and null or empty texts have nothing to drop. Null ids come last in the order.
     """
     rows = documents(docs, doc_id, text)
-    lines = materialize(line_rows(rows, min_words, near_words), "line-rows")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        lines = materialize(line_rows(rows, min_words, near_words), "line-rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "line_no")
     firsts = lines.groupBy("h").agg(
         F.min(order).alias("at"), F.min("n_words").alias("n_words"), *(F.min(c).alias(c) for c in ("a0", "a1", "z0", "z1")))
@@ -177,7 +178,8 @@ def _near_copies(rows: DataFrame, firsts: DataFrame, near_words: int) -> DataFra
     split = split.where(F.length("text") >= 2 * near_words - 1).withColumn("where", place(F.col("doc_id"), F.col("k"), F.col("line_no")))
     held = wanted.join(split.select("where", "text"), "where").select("h", "at", "in_first", "in_last", "text")
     held = materialize(held.dropDuplicates(["h"]), "line-near")
-    keys = materialize(variants(held).join(held.select("h", "at"), "h"), "line-variants")
+    with settings(rows.sparkSession, SMALL_BATCHES):
+        keys = materialize(variants(held).join(held.select("h", "at"), "h"), "line-variants")
     # Whose earliest line is wanted: lines with the same deletion, the whole line, or (for a whole line) any deletion.
     entry = F.struct("at", "h")
     by_place = keys.groupBy("v", "place").agg(F.min(entry).alias("low"))
