@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from auditlake.llm.common import blocks, by_name, spans, utf8
-from auditlake.session import materialize
+from auditlake.llm.common import SMALL_BATCHES, blocks, by_name, spans, utf8
+from auditlake.session import materialize, settings
 
 LENGTH = 2048
 STEP = 16
@@ -290,7 +290,8 @@ def pack(
     empty table gives no rows. ``length`` must be a multiple of ``step``.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, path or vocabulary_path(), length, doc_id, text), "pack-pieces")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        cut = materialize(pieces(docs, path or vocabulary_path(), length, doc_id, text), "pack-pieces")
     rests = cut.where(F.col("length") < length).withColumn("class", F.ceil(F.col("length") / step).cast("int"))
     histogram = rests.groupBy("class").count().orderBy("class").collect()  # at most length / step rows
     classes = np.array([r[0] for r in histogram], np.int64)
