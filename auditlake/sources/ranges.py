@@ -202,9 +202,24 @@ def parse_records(records: DataFrame, header: Sequence[str], **options) -> DataF
     return parsed.select(*PLACE, *[F.col(f"v.{n}").alias(h) for n, h in zip(names, header, strict=True)])
 
 
+def _bytes(spark: SparkSession, key: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{key}"))
+
+
+def same_ranges(spark: SparkSession, sizes: Sequence[int]) -> dict[str, str]:
+    """Settings under which files of these sizes are cut alike however many of them are read together and whatever executors come or go.
+
+    Spark cuts by the bytes of all files for each core; here that is worked out once.
+    """
+    cost = _bytes(spark, "openCostInBytes")
+    cores = int(spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    most = min(_bytes(spark, "maxPartitionBytes"), max(cost, sum(n + cost for n in sizes) // cores))
+    return {"spark.sql.files.maxPartitionBytes": f"{max(1, most)}b", "spark.sql.files.minPartitionNum": "1"}
+
+
 def would_cut(spark: SparkSession, paths: Sequence[str]) -> bool:
     """Whether Spark may cut any of the files into ranges: a file at most as long as the cost of opening one never is."""
-    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    least = _bytes(spark, "openCostInBytes")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
