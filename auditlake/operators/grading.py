@@ -22,7 +22,7 @@ from auditlake.functions.binding import bind
 from auditlake.functions.parsing import model_reply
 from auditlake.functions.text import clean_report
 from auditlake.operators import scoring
-from auditlake.session import materialize
+from auditlake.session import materialize, release
 
 KEY = "accession_no"
 STEPS = ("semialgo", "hybrid", "llm", "judge", "findings")
@@ -259,6 +259,8 @@ def grade_pipeline(
         )
         found = materialize(asked, "findings").select(key, *[F.col(n).cast("int").alias(n) for n in names])
         grades = with_grades(grades, found, key)
+    grades = materialize(grades, "grades")  # narrow
+    release(pinned_rows)
     new = [c for c in grades.columns if c != key]
     kept = [c for c in df.columns if c not in new]
     return with_grades(cleaned.select(key, *kept), grades, key).drop(key)

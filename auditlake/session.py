@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import posixpath
 import tempfile
 import uuid
 
@@ -59,13 +60,39 @@ def clear_scratch(spark: SparkSession) -> None:
         fs.delete(path, True)
 
 
+#: For writes: what they have shuffled goes when they are done, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Folders of ``materialize`` by their names.
+_written: dict[str, str] = {}
+
+
 def materialize(df, name: str, **options):
     """Write a result once and read it back: cuts lineage and pins its values. Options go to the Parquet writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with settings(df.sparkSession, FREE_SHUFFLES):
+        df.write.options(**options).parquet(path)
+    _written[posixpath.basename(path)] = path
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*frames) -> None:
+    """Remove the materialized results that these DataFrames read, and nothing else: call it when nobody will read them any more."""
+    for df in frames:
+        for name in {posixpath.basename(posixpath.dirname(f)) for f in df.inputFiles()} & _written.keys():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(name))
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def pinned(df, name: str, **options):
+    """A materialized result that is removed at the end; what outlives it must not read it."""
+    held = materialize(df, name, **options)
+    try:
+        yield held
+    finally:
+        release(held)
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """The session with other settings for a while; for steps that run at once, such as writes."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.operators import confusion
 from auditlake.operators.filters import sort_columns
+from auditlake.session import FREE_SHUFFLES, settings
 
 CSV_OPTIONS = {
     "header": True,
@@ -24,7 +25,8 @@ CSV_OPTIONS = {
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.options(**CSV_OPTIONS).csv(path)
+    with settings(df.sparkSession, FREE_SHUFFLES):
+        df.write.options(**CSV_OPTIONS).csv(path)
     return path
 
 

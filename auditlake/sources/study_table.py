@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from auditlake import schema as S
 from auditlake.operators import merges as M
 from auditlake.operators.intake import first_per_key
-from auditlake.session import materialize
+from auditlake.session import FREE_SHUFFLES, materialize, pinned, release, settings
 from auditlake.sources import key_index
 from auditlake.sources.manifests import Conflict, Manifests, Snapshot
 
@@ -168,14 +168,14 @@ class StudyTable:
         """
         folder = f"v{now.version + 1:09d}-{uuid.uuid4().hex}"
         path = f"{self.root}/{kind}/{folder}"
-        (
+        dealt = (
             rows.withColumn("_bucket", self._bucket(now))
             .hint("rebalance", "month", "_bucket")
             .sortWithinPartitions("month", "_bucket", "procedure_start_date")
             .drop("_bucket")
-            .write.partitionBy("month")
-            .parquet(path)
         )
+        with settings(self.spark, FREE_SHUFFLES):
+            dealt.write.partitionBy("month").parquet(path, compression="zstd")
         file = F.col("_metadata.file_path")
         columns = [M.KEY] + ["_set"] * (kind == "changes")
         written = self._parquet(T.StructType([self.change_schema[c] for c in columns]), [path]).select(
@@ -249,22 +249,23 @@ class StudyTable:
                 patches = told.where(F.col("_kind") != "new").select(
                     *names, gone.alias("_deleted"), F.when(gone, F.array().cast("array<string>")).otherwise(F.col("_set")).alias("_set"), F.col("_month").alias("month"))
                 added += self._write(patches, "changes", now)
+            release(before, told)
             return added, [], self._buckets_of(keys, now)
 
         return self._commit(build)
 
-    # What a caller hands in is written once: it is read to find rows and to merge, and again if the writer starts over.
+    # What a caller hands in is written once: it is read to find rows and to merge, and again if the writer starts over. Then it goes.
 
     def insert(self, incoming: DataFrame, order: Sequence[str], batch_id: str) -> int:
         """Insert if absent; running it again adds nothing."""
-        pinned = materialize(incoming, "insert")
+        with pinned(incoming, "insert", compression="zstd") as rows:
 
-        def build(now: Snapshot):
-            stored = self.rows_of(pinned.select(M.KEY), now).select(M.KEY)
-            rows = self._with_month(M.insert_if_absent(stored, pinned, order, batch_id))
-            return self._write(rows, "rows", now), [], self._buckets_of(pinned, now)
+            def build(now: Snapshot):
+                stored = self.rows_of(rows.select(M.KEY), now).select(M.KEY)
+                new = self._with_month(M.insert_if_absent(stored, rows, order, batch_id))
+                return self._write(new, "rows", now), [], self._buckets_of(rows, now)
 
-        return self._commit(build)
+            return self._commit(build)
 
     def upsert(self, incoming: DataFrame, order: Sequence[str] = ()) -> int:
         """Insert new keys and overwrite known ones with values that are not null.
@@ -273,35 +274,35 @@ class StudyTable:
         """
         extra = [c for c in order if c not in S.STUDY_TYPES]
         keyed = incoming.where(F.col(M.KEY).isNotNull())
-        pinned = materialize(first_per_key(keyed, M.KEY, list(order) or keyed.columns).drop(*extra), "upsert")
         now_ = F.current_timestamp()
+        with pinned(first_per_key(keyed, M.KEY, list(order) or keyed.columns).drop(*extra), "upsert", compression="zstd") as rows:
 
-        def change(before: DataFrame) -> DataFrame:
-            merged = M.upsert_non_null(before, pinned, touched="_touched")
-            return merged.withColumns({
-                "created_at": F.coalesce("created_at", now_),
-                "updated_at": F.when(F.col("_touched"), now_).otherwise(F.col("updated_at")),
-            })
+            def change(before: DataFrame) -> DataFrame:
+                merged = M.upsert_non_null(before, rows, touched="_touched")
+                return merged.withColumns({
+                    "created_at": F.coalesce("created_at", now_),
+                    "updated_at": F.when(F.col("_touched"), now_).otherwise(F.col("updated_at")),
+                })
 
-        return self._change(pinned.select(M.KEY), change)
+            return self._change(rows.select(M.KEY), change)
 
     def set_labels(self, labels: DataFrame, field: str = "gt_manual") -> int:
         """Labels by key; with a column ``row_no`` the last line of a key counts."""
-        pinned = materialize(labels.select(M.KEY, "label", *[c for c in ("row_no",) if c in labels.columns]), "labels")
         order = "row_no" if "row_no" in labels.columns else None
-        return self._change(pinned.select(M.KEY), lambda rows: M.apply_labels(rows, pinned, field, order))
+        with pinned(labels.select(M.KEY, "label", *[c for c in ("row_no",) if c in labels.columns]), "labels") as given:
+            return self._change(given.select(M.KEY), lambda rows: M.apply_labels(rows, given, field, order))
 
     def backfill(self, found: DataFrame) -> int:
-        pinned = materialize(found, "backfill")
-        return self._change(pinned.select(M.KEY), lambda rows: M.backfill_merge(rows, pinned))
+        with pinned(found, "backfill") as given:
+            return self._change(given.select(M.KEY), lambda rows: M.backfill_merge(rows, given))
 
     def edit(self, changes: DataFrame) -> int:
-        pinned = materialize(changes, "edits")
-        return self._change(pinned.select(M.KEY), lambda rows: M.edit_rows(rows, pinned))
+        with pinned(changes, "edits") as given:
+            return self._change(given.select(M.KEY), lambda rows: M.edit_rows(rows, given))
 
     def delete(self, keys: DataFrame) -> int:
-        pinned = materialize(keys.select(M.KEY).distinct(), "deletes")
-        return self._change(pinned, lambda rows: M.delete_keys(rows, pinned))
+        with pinned(keys.select(M.KEY).distinct(), "deletes") as given:
+            return self._change(given, lambda rows: M.delete_keys(rows, given))
 
     def compact(self, months: Sequence[str] | None = None) -> int:
         """Write months anew that have changes or several folders of rows; readers then find one folder without changes."""
