@@ -86,7 +86,8 @@ def _vote(c: Column) -> Column:
         a, b = _number(p[3]), _number(p[5])
         return F.when((F.size(p) == _GROUPS) & _ambiguous(p), F.when((a > 12) & (b <= 12), DAY_FIRST).when((b > 12) & (a <= 12), MONTH_FIRST).when((a <= 12) & (b <= 12), "either"))
 
-    return bind(_parts(c), told)
+    # With four digits in front the year comes first, so the question doesn't arise; such cells are not taken apart.
+    return F.when(~F.trim(c.cast("string")).rlike(r"^\d{4}"), bind(_parts(c), told))
 
 
 def votes(df: DataFrame, columns: Sequence[str], by: Column, read) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditlake import schema as S
 from auditlake.operators import filters, intake
 from auditlake.operators import merges as M
-from auditlake.session import materialize
+from auditlake.session import materialize, release
 from auditlake.sources import exports
 from auditlake.sources.study_table import StudyTable
 
@@ -20,12 +20,13 @@ def import_file(table: StudyTable, path: str, batch_id: str, mode: str = "skip")
 
     Of several lines of a key the first counts. Mode ``skip`` adds unknown keys only, ``update`` also
     overwrites known studies with the values that are not null. The lines are written
-    once, and the outcomes are counted before the table changes. Each date column is read days first or months first
+    once as study fields, and the outcomes are counted before the table changes. Each date column is read days first or months first
     as most of its cells say; cells that no form fits are counted as ``unparsed <header>``.
     """
-    lines = materialize(exports.read_import(table.spark, path), "import-lines")
+    lines = exports.read_import(table.spark, path)
     votes = materialize(intake.date_votes(lines, list(S.TIMESTAMP_HEADERS)), "import-dates")
     rows = materialize(intake.map_headers(lines, [intake.ROW_ORDER], intake.day_first_columns(votes)), "import")
+    release(lines)  # the file stays
     outcomes = M.import_outcomes(table.rows_of(rows), rows, [intake.ROW_ORDER], mode)
     unparsed = votes.where(F.col("unparsed") > 0).select(F.concat(F.lit("unparsed "), "column").alias("outcome"), F.col("unparsed").alias("lines"))
     counts = materialize(M.import_counts(outcomes).unionByName(unparsed), "import-counts")
@@ -33,6 +34,7 @@ def import_file(table: StudyTable, path: str, batch_id: str, mode: str = "skip")
         table.upsert(rows.withColumn("processing_batch_id", F.lit(batch_id)), [intake.ROW_ORDER])
     else:
         table.insert(rows, [intake.ROW_ORDER], batch_id)
+    release(rows)
     return counts
 
 

@@ -72,7 +72,9 @@ def materialize(df, name: str, **options):
     with settings(df.sparkSession, FREE_SHUFFLES):
         df.write.options(**options).parquet(path)
     _written[posixpath.basename(path)] = path
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._materialized = True
+    return held
 
 
 def release(*frames) -> None:
@@ -85,7 +87,10 @@ def release(*frames) -> None:
 
 @contextlib.contextmanager
 def pinned(df, name: str, **options):
-    """A materialized result that is removed at the end; what outlives it must not read it."""
+    """A materialized result that is removed at the end; what outlives it must not read it. One that the caller has materialized is taken as it is."""
+    if getattr(df, "_materialized", False):
+        yield df
+        return
     held = materialize(df, name, **options)
     try:
         yield held

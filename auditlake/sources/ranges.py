@@ -146,6 +146,15 @@ def cut_records(lines: DataFrame, owners: dict[tuple[str, int], int], crlf: set[
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+        def plain(lines: pa.Array) -> pa.RecordBatch:
+            """Lines that all are records, empty ones apart."""
+            if key[0] in crlf:
+                lines = pc.replace_substring_regex(lines, "\r$", "")
+            lines = lines.filter(pc.not_equal(lines, ""))
+            n = len(lines)
+            place = [pa.repeat(pa.scalar(v, k), n) for v, k in zip(key, kinds[:2], strict=True)]
+            return pa.RecordBatch.from_arrays([*place, pa.array(np.arange(row, row + n)), pa.nulls(n, kinds[3]), lines], names=names)
+
         for place, stretch in _stretches(batches):
             out = []
             if place != key:
@@ -153,6 +162,12 @@ def cut_records(lines: DataFrame, owners: dict[tuple[str, int], int], crlf: set[
                 key, row, held = place, 0, []
                 owner = owners.get(place)
                 inside = owner is not None
+            if not held and owner is None and not pc.any(pc.match_substring(stretch, '"')).as_py():
+                yield batch(out)
+                found = plain(stretch)
+                row += found.num_rows
+                yield found
+                continue
             for line in stretch.to_pylist():
                 if line.endswith("\r") and place[0] in crlf:
                     line = line[:-1]

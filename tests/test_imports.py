@@ -1,12 +1,14 @@
 """Whole imports, label files in several parts, and pages over columns with nulls and NaN."""
 
+import pathlib
+from collections import Counter
 from functools import partial
 
 import pytest
 
 from auditlake.operators import filters, selection
-from auditlake.plans import imports
-from auditlake.session import scratch_path
+from auditlake.plans import imports, queries_import
+from auditlake.session import scratch_path, scratch_root, settings
 from auditlake.sources import exports
 from auditlake.sources.study_table import StudyTable
 
@@ -42,3 +44,16 @@ def test_deep_pages_order_nulls_and_nan(spark, monkeypatch, sort):
     for number in (1, 2, 4, 8, 16, 20):
         got = [r.accession_no for r in filters.page(df, number, 10, sort).collect()]
         assert got == whole[number * 10 - 10 : number * 10]
+
+
+def test_both_modes_import_one_file_and_keep_no_copies(spark):
+    def scratch():
+        root = pathlib.Path(scratch_root(spark).removeprefix("file:"))
+        return Counter(p.name.rpartition("-")[0] for p in root.iterdir()) if root.exists() else Counter()
+
+    before = scratch()
+    with settings(spark, {"spark.sql.files.openCostInBytes": "4k"}):  # the file is read by ranges
+        counts = queries_import.import_file_counts(spark, "/root/testdata/sf0.001").collect()
+    left = scratch() - before
+    assert len(counts) == 8 and left["import-file"] == 1 and left["import-skip"] == left["import-update"] == 1
+    assert not {"csv-records", "import-lines", "import", "insert", "upsert", "before", "differences"} & left.keys()

@@ -94,3 +94,11 @@ def test_only_files_that_spark_would_cut(spark, tmp_path):
 ])
 def test_leaves_open(line, inside, open_):
     assert ranges.leaves_open(line, inside) is open_
+
+
+def test_records_without_quotes(spark, tmp_path):
+    path = tmp_path / "simple.csv"
+    path.write_bytes(b"k,x,y\n1,2,3\n,,\n 4 ,  \n5\n6,,7,8,9\n,\n10,a b,\xc3\xa9\n \n#,x,\\\n" + b"11,'q',-\n" * 30)
+    with settings(spark, TINY):
+        split = values(exports.read_scores(spark, [str(path)], split=True))
+    assert split == values(exports.read_scores(spark, [str(path)], split=False)) and ("6", None, "7") in split
